@@ -81,14 +81,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
     return w
 
 
-def fit_rows(rows: list[tuple[int, str]], dictionary_bytes: int = 112 << 10, chunk: int = 4096) -> CompressionModel:
+def fit_rows(rows: list[tuple[int, str]], sizes: dict[int, int] | None = None, dictionary_bytes: int = 112 << 10, chunk: int = 4096) -> CompressionModel:
     """Fits on (quality, text) rows in their order: every other row goes to the dictionaries, the rest to the calibration.
 
     Lines that several rows of the dictionary half share say nothing about quality and are left out. Both dictionaries
-    are as large as half of the smaller class allows, so that neither wins by its size. With rows of one class, or none, every score is the smoothed share of class 1.
+    are as large as half of the smaller class allows, so that neither wins by its size. sizes, the classes' numbers of
+    labelled rows where rows is a sample, set the calibration's prior odds. With rows of one class, or none, every score is the smoothed share of class 1.
     """
     y = np.array([q for q, _ in rows], dtype=np.float64)
-    prior = float((y.sum() + 1) / (len(y) + 2))
+    ones, zeros = (sizes.get(1, 0), sizes.get(0, 0)) if sizes else (y.sum(), (1 - y).sum())
+    prior = float((ones + 1) / (ones + zeros + 2))
     shown = {q: [t for k, (c, t) in enumerate(r for r in rows if r[0] == q) if k % 2 == 0 and t] for q in (0, 1)}
     kept = [(q, t) for q in (0, 1) for k, (c, t) in enumerate(r for r in rows if r[0] == q) if k % 2 == 1 and t]
     lines = Counter(line for q in (0, 1) for t in shown[q] for line in set(t.split("\n")))
@@ -103,6 +105,8 @@ def fit_rows(rows: list[tuple[int, str]], dictionary_bytes: int = 112 << 10, chu
     x = np.array([model.features(t) for _, t in kept])
     model.center, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     model.weights = logistic((x - model.center) / model.scale, np.array([q for q, _ in kept], dtype=np.float64))
+    drawn = (y.sum() + 1) / (len(y) + 2)
+    model.weights[0] += np.log(prior / (1 - prior)) - np.log(drawn / (1 - drawn))
     return model
 
 
@@ -128,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = 4000, sample
     texts = texts.where(F.octet_length("_text") <= sample_bytes)
     rows = sorted((r["_at"], r["_id"], r["_quality"], r["_text"]) for r in texts.join(known, "_id").collect())
     picked = [x for q in (0, 1) for x in [r for r in rows if r[2] == q][:sample_per_class]]
-    return fit_rows([(q, t) for _, _, q, t in sorted(picked)])
+    return fit_rows([(q, t) for _, _, q, t in sorted(picked)], sizes)
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
