@@ -36,7 +36,9 @@ def gram_counts(text: str, buckets: int) -> np.ndarray | None:
         return None
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    x = np.concatenate(([np.uint32(32)], codes[keep], [np.uint32(32)])).astype(np.uint64)
+    body = codes[keep]
+    body = body[:-1] if body[-1] == 32 else body
+    x = np.concatenate(([np.uint32(32)], body, [np.uint32(32)])).astype(np.uint64)
     pairs = (x[:-1] * np.uint64(0x9E3779B1) + x[1:] * np.uint64(0x85EBCA77)) & np.uint64(0xFFFFFFFF)
     triples = (pairs[:-1] * np.uint64(0xC2B2AE3D) + x[2:] * np.uint64(0x27D4EB2F)) & np.uint64(0xFFFFFFFF)
     both = np.concatenate((pairs, triples))
