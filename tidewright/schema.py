@@ -15,8 +15,12 @@ class ValidationError(ValueError):
         self.errors = errors
 
 
+TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
 def struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name type, …"; it needs no session."""
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in (part.split() for part in text.split(","))])
 
 
 RAW_TRADE = struct(
