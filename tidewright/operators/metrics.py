@@ -117,12 +117,28 @@ def equal_width_bin(p: Column, bins: int) -> Column:
 
 
 def with_bins(rows: DataFrame, bins: int, strategy: str = "equal_width", tie: str = "dataset_row_id", by: tuple[str, ...] = ()) -> DataFrame:
-    """rows with bin; equal_frequency is floor(rank * bins / n) in the order of (p, tie), which is not ntile."""
+    """rows with bin; equal_frequency is floor(rank * bins / n) in the order of (p, tie), which is not ntile.
+
+    Ranks are counted inside ranges of the probability and across them, so that no task orders all rows of a group.
+    """
     if strategy == "equal_width":
         return rows.withColumn("bin", equal_width_bin(F.col("p_up"), bins))
-    order = Window.partitionBy(*by).orderBy("p_up", tie)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return rows.withColumn("bin", F.floor((F.row_number().over(order) - 1) * bins / n).cast("int"))
+    ranges, here = 256, list(by)
+    at = F.least(F.floor(F.greatest(F.col("p_up"), F.lit(0.0)) * ranges), F.lit(ranges - 1)).cast("int")
+    rows = rows.withColumn("_at", at)
+    counts = rows.groupBy(*here, "_at").agg(F.count(F.lit(1)).alias("_m"))
+    below = Window.partitionBy(*here).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        *[F.col(c).alias(f"_{c}") for c in here], F.col("_at").alias("_range"), F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_below"),
+        F.sum("_m").over(Window.partitionBy(*here)).alias("_n"),
+    )
+    same = F.col("_at") == F.col("_range")
+    for c in here:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*here, "_at").orderBy("p_up", tie))
+    out = rows.withColumn("_inside", inside).join(counts, same)
+    place = F.floor((F.col("_below") + F.col("_inside") - 1) * bins / F.col("_n")).cast("int")
+    return out.withColumn("bin", place).drop("_at", "_range", "_below", "_n", "_inside", *[f"_{c}" for c in here])
 
 
 def calibration_table(binned: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
