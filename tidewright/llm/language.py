@@ -50,13 +50,15 @@ class CentroidModel:
     """Several unit centroids per language over TF-IDF vectors, with a distance beyond which a text is rejected."""
 
     def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, farthest: np.ndarray):
-        self.langs, self.centroids, self.idf, self.farthest = langs, centroids.astype(np.float32), idf, farthest
+        self.langs, self.centroids, self.idf, self.farthest = langs, centroids.astype(np.float32), idf.astype(np.float32), farthest
         self.names = sorted(set(langs))
         self.of = np.array([self.names.index(x) for x in langs], dtype=np.int64)
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.sqrt(counts) * self.idf
-        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        x = np.sqrt(counts, dtype=np.float32)
+        x *= self.idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-12))
+        return x
 
     def predict(self, texts: list[str], sharpness: float = 30.0) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text; ('und', 0, True) without a letter."""
@@ -91,24 +93,37 @@ def clusters(x: np.ndarray, k: int, rounds: int = 20, seed: int = 4) -> np.ndarr
 
 
 def fit_rows(rows: list[tuple[str, str]], buckets: int = 1 << 14, per_language: int = 4, quantile: float = 0.995) -> CentroidModel:
-    """Fits on (language, text) rows; rows without a letter are left out, and without rows nothing is ever predicted."""
-    counted = [(lang, c) for lang, c in ((lang, gram_counts(t, buckets)) for lang, t in rows) if c is not None]
-    if not counted:
+    """Fits on (language, text) rows; rows without a letter are left out, and without rows nothing is ever predicted.
+
+    Counts are kept sparse, and one language at a time is made dense: 64 KiB for each of its sampled rows.
+    """
+    sparse: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    n, seen = 0, np.zeros(buckets)
+    for lang, text in rows:
+        counts = gram_counts(text, buckets)
+        if counts is not None:
+            at = np.flatnonzero(counts)
+            sparse.setdefault(lang, []).append((at, counts[at].astype(np.float32)))
+            seen[at] += 1
+            n += 1
+    if not n:
         return CentroidModel([], np.zeros((0, buckets)), np.ones(buckets), np.zeros(0))
-    counts = np.stack([c for _, c in counted])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
+    idf = np.log((1 + n) / (1 + seen)) + 1
     model = CentroidModel([], np.zeros((0, buckets)), idf, np.zeros(0))
-    x, y = model.vectors(counts), np.array([lang for lang, _ in counted])
     langs, centroids, farthest = [], [], []
-    for lang in sorted(set(y)):
-        c = clusters(x[y == lang], per_language)
+    for lang in sorted(sparse):
+        dense = np.zeros((len(sparse[lang]), buckets), np.float32)
+        for row, (at, counts) in zip(dense, sparse[lang], strict=True):
+            row[at] = counts
+        x = model.vectors(dense)
+        c = clusters(x, per_language)
         langs += [lang] * len(c)
         centroids.append(c)
-        farthest.append(float(np.quantile(1 - (x[y == lang] @ c.T).max(axis=1), quantile)) + 0.05)
+        farthest.append(float(np.quantile(1 - (x @ c.T).max(axis=1), quantile)) + 0.05)
     return CentroidModel(langs, np.concatenate(centroids), idf, np.array(farthest))
 
 
-def fit(docs: DataFrame, sample_per_language: int = 500, sample_bytes: int = 32 << 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 4) -> CentroidModel:
+def fit(docs: DataFrame, sample_per_language: int = 400, sample_bytes: int = 32 << 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 4) -> CentroidModel:
     """Fits on at most sample_per_language rows of each language, of texts of at most sample_bytes bytes.
 
     Held-out rows and rows without a language teach nothing. The bound holds at any size of the input.
