@@ -119,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = 4000, sample
     """Fits on at most sample_per_class rows of either class, of texts of at most sample_bytes bytes each.
 
     That bound (and 1/4 more, which the hash threshold may let through before the cut) is all that reaches the
-    driver, at any size of the input. Rows that are held out, or whose label is not 0 or 1, teach nothing.
+    driver, at any size of the input. The sampled ids and labels, no more than so many rows, are broadcast to the
+    documents, whose texts are not shuffled. Rows that are held out, or whose label is not 0 or 1, teach nothing.
     """
     known = labels.select(labels[id_col].cast("long").alias("_id"), labels["quality"].alias("_quality")).where("_quality IN (0, 1)")
     known = known.where(~held_out(F.col("_id"))).dropDuplicates(["_id"])
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = 4000, sample
     known = known.withColumn("_at", sample_hash(F.col("_id"), seed)).where(F.col("_at") < share)
     texts = docs.select(docs[id_col].cast("long").alias("_id"), clean_text(docs, text_col).alias("_text"))
     texts = texts.where(F.octet_length("_text") <= sample_bytes)
-    rows = sorted((r["_at"], r["_id"], r["_quality"], r["_text"]) for r in texts.join(known, "_id").collect())
+    rows = sorted((r["_at"], r["_id"], r["_quality"], r["_text"]) for r in texts.join(F.broadcast(known), "_id").collect())
     picked = [x for q in (0, 1) for x in [r for r in rows if r[2] == q][:sample_per_class]]
     return fit_rows([(q, t) for _, _, q, t in sorted(picked)], sizes)
 
