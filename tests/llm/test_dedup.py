@@ -215,6 +215,47 @@ def test_simhash_empty_null_ids_and_one_of_each(spark):
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "9", "None"]
 
 
+def jaccard(a, b, words=5):
+    def cut(t):
+        w = t.lower().split()
+        return {" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y)
+
+
+def test_wide_simhash_links_similar_and_no_other_texts(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows = []
+    for _ in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([40, 150, 400]))]
+        rows.append(" ".join(words))
+        for _ in range(2):
+            other = list(words)
+            for _ in range(max(1, len(words) // 120)):
+                other[rng.randrange(len(other))] = "changed"
+            rows.append(" ".join(other))
+        rows.append(" ".join(rng.choice(vocabulary) if rng.random() < 0.3 else w for w in words))
+    df = spark.createDataFrame(list(enumerate(rows)) + [(900, None), (901, ""), (None, rows[0])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_components(df).collect()}
+    near = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if a // 4 == b // 4 and jaccard(rows[a], rows[b]) >= 0.85]
+    assert len(near) > 40 and np.mean([got[a] == got[b] for a, b in near]) > 0.95
+    assert all(got[a] // 4 == a // 4 for a in range(len(rows)))
+    assert all(got[a] == a for a in range(3, len(rows), 4))
+    assert got[901] == 900 == got[900] and got[None] == got[0]
+    assert simhash_dedup.similar_components(df.limit(0)).count() == 0
+
+
+def test_forest_of_wide_values():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, (20, 4), dtype=np.uint64)
+    values = np.concatenate([base, base ^ np.uint64(5), base ^ np.uint64(1 << 40)])
+    forest = simhash_dedup.Forest(values, np.zeros(len(values), np.int64))
+    got = {(q, i) for a, b in forest.search(values, np.zeros(len(values), np.int64), 12) for q, i in zip(a.tolist(), b.tolist(), strict=True)}
+    assert got == {(q, i) for q in range(60) for i in range(60) if sum(int(x ^ y).bit_count() for x, y in zip(values[q], values[i], strict=True)) <= 12}
+
+
 def test_spark_hash_is_the_contracts(spark):
     got = spark.createDataFrame([("a b c d é",)], "t string").select(F.xxhash64("t")).first()[0]
     assert got % 2**64 == xxhash.xxh64_intdigest("a b c d é".encode(), 42)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,36 +20,64 @@ UPPER = {c: c + 32 for c in range(65, 91)}
 LOWER = bytes(UPPER.get(c, c) for c in range(256))
 
 
-def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, repeats included, in runs of at most 65,536; fewer words make one shingle."""
     parts = text.encode().translate(LOWER).split()
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
+    digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        yield np.array([digest(joined, seed)], dtype="<u8")
+        return
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
     a, b = starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist()
-    votes = np.zeros(64, dtype=np.int64)
     for k in range(0, len(a), 1 << 16):
-        h = np.array([digest(joined[x:y], seed) for x, y in zip(a[k : k + (1 << 16)], b[k : k + (1 << 16)], strict=True)], dtype="<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(a), bitorder="little").tobytes(), "little")
+        yield np.array([digest(joined[x:y], seed) for x, y in zip(a[k : k + (1 << 16)], b[k : k + (1 << 16)], strict=True)], dtype="<u8")
+
+
+def mixed(h: np.ndarray, turn: int) -> np.ndarray:
+    """Another 64 bits of each hash; turn 0 gives the hash itself."""
+    if not turn:
+        return h
+    h = h + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprints_of(text: str, shingle_words: int, width: int) -> list[int]:
+    """The SimHash of a text in `width` words of 64 bits: a bit is 1 if it is set in over half the hashes; 0 without words."""
+    votes, n = np.zeros((width, 64), dtype=np.int64), 0
+    for h in shingle_hashes(text, shingle_words):
+        n += len(h)
+        for k in range(width):
+            votes[k] += np.unpackbits(mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(v * 2 > n, bitorder="little").tobytes(), "little") for v in votes]
+
+
+def fingerprint(text: str, words: int = 4) -> int:
+    """The 64-bit SimHash of a text's word shingles."""
+    return fingerprints_of(text, words, 1)[0]
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
 class Forest:
-    """BK-trees over unsigned 64-bit values, built and searched for all trees at once.
+    """BK-trees over rows of unsigned 64-bit words, built and searched for all trees at once.
 
     A child hangs below its parent at the integer Hamming distance between them, one child per distance; an item
-    that meets a taken distance goes on to that child. Edges are kept as sorted codes parent * 128 + distance,
-    so that the edges within the radius of a query's distance are one contiguous run.
+    that meets a taken distance goes on to that child. Edges are kept as sorted codes parent * 1024 + distance,
+    so that the edges within the radius of a query's distance are one contiguous run. Values have at most 15 words.
     """
 
     def __init__(self, values: np.ndarray, tree: np.ndarray):
-        """tree: the tree's number of each value, ascending; values of a tree are distinct."""
-        self.values = values
+        """values: one row, or one number, each; tree: the tree's number of each, ascending; values of a tree are distinct."""
+        self.values = values = values.reshape(len(values), -1)
         starts = np.flatnonzero(np.diff(tree, prepend=-1)) if len(tree) else np.zeros(0, np.int64)
         self.root = dict(zip(tree[starts].tolist(), starts.tolist(), strict=True))
         at = np.repeat(starts, np.diff(np.append(starts, len(tree))))
@@ -56,7 +85,7 @@ class Forest:
         at = at[item]
         codes, children = [], []
         while len(item):
-            code = at * 128 + np.bitwise_count(values[item] ^ values[at])
+            code = at * 1024 + distances(values[item], values[at])
             new, first, which = np.unique(code, return_index=True, return_inverse=True)
             codes.append(new)
             children.append(item[first])
@@ -71,13 +100,14 @@ class Forest:
 
     def search(self, queries: np.ndarray, root: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query index, item index) within the radius; root: the root item from which each query starts."""
+        queries = queries.reshape(len(queries), -1)
         who, at = np.arange(len(queries)), root
         while len(who):
-            d = np.bitwise_count(queries[who] ^ self.values[at]).astype(np.int64)
+            d = distances(queries[who], self.values[at])
             hit = d <= radius
             yield who[hit], at[hit]
-            low = np.searchsorted(self.code, at * 128 + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.code, at * 128 + d + radius, "right") - low
+            low = np.searchsorted(self.code, at * 1024 + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.code, at * 1024 + np.minimum(d + radius, 1023), "right") - low
             who = np.repeat(who, n)
             at = self.child[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())] if n.sum() else at[:0]
 
@@ -89,12 +119,15 @@ def bands(bits: int, radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def forest_edges(pdf: pd.DataFrame, radius: int, step: int = 1 << 20) -> pd.DataFrame:
-    """Spanning edges of the links in whole shards (band, value, bi, bj), each of which has one tree."""
+def forest_edges(pdf: pd.DataFrame, radius: int, words: list[str], node: str, step: int = 1 << 19) -> pd.DataFrame:
+    """Spanning edges of the links in whole shards (band, value, bi, bj), each of which has one tree.
+
+    words: the columns with the fingerprint's words; node: the column that names it.
+    """
     pdf = pdf.sort_values(["band", "value", "bi", "bj"], kind="stable", ignore_index=True)
     new = (pdf[["band", "value", "bi", "bj"]] != pdf[["band", "value", "bi", "bj"]].shift()).any(axis=1)
     shard = new.cumsum().to_numpy() - 1
-    fp = pdf["fp"].to_numpy().view(np.uint64)
+    fp = np.column_stack([pdf[c].to_numpy().view(np.uint64) for c in words])
     block, bi, bj = (pdf[c].to_numpy() for c in ("block", "bi", "bj"))
     inside, asks = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
     forest = Forest(fp[inside], shard[inside])
@@ -111,37 +144,34 @@ def forest_edges(pdf: pd.DataFrame, radius: int, step: int = 1 << 20) -> pd.Data
             apart = x != y
             x, y = x[apart], y[apart]
             if len(x):
-                node, edge = np.unique(np.concatenate((x, y)), return_inverse=True)
-                label = local_components(len(node), edge[: len(x)], edge[len(x) :])
-                a.append(node)
-                b.append(node[label])
+                ends, edge = np.unique(np.concatenate((x, y)), return_inverse=True)
+                label = local_components(len(ends), edge[: len(x)], edge[len(x) :])
+                a.append(ends)
+                b.append(ends[label])
     if not a:
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     a, b = np.concatenate(a), np.concatenate(b)
-    values = fp.view(np.int64)
-    return pd.DataFrame({"a": values[a], "b": values[b]})[a != b]
+    names = pdf[node].to_numpy()
+    return pd.DataFrame({"a": names[a], "b": names[b]})[a != b]
+
 
+def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int, width: int = 1) -> DataFrame:
+    """(id, fp) of every row, or (id, f0, f1, …) for a width above 1."""
+    names = ["fp"] if width == 1 else [f"f{k}" for k in range(width)]
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            fp = np.array([fingerprints_of(t, words, width) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, width)
+            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(width))], names=["id", *names])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), clean_text(df, text_col).alias("text"))
-    return rows.mapInArrow(marked, "id long, fp long")
+    return rows.mapInArrow(marked, ", ".join(["id long", *[f"{n} long" for n in names]]))
 
 
-def linked(scratch: Scratch, marks: DataFrame, radius: int, block_rows: int) -> DataFrame:
-    """One row per distinct fingerprint of marks (id, fp): fp and component_id, the smallest id of its component."""
-    nodes = scratch.save(marks.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    keys = [
-        F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("value"))
-        for k, (s, w) in enumerate(bands(64, radius))
-    ]
-    rows = nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.band", "k.value")
-    shards = blocked(rows, ["band", "value"], "fp", block_rows).repartition("band", "value", "bi", "bj")
-    shards = shards.sortWithinPartitions("band", "value", "bi", "bj")
+def shard_links(rows: DataFrame, words: list[str], node: str, radius: int, block_rows: int) -> DataFrame:
+    """Spanning edges (a, b) of the links in the shards (band, value) of rows; hot shards are cut into block pairs."""
+    place = ["band", "value", "bi", "bj"]
+    shards = blocked(rows, ["band", "value"], node, block_rows).repartition(*place).sortWithinPartitions(*place)
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -149,22 +179,78 @@ def linked(scratch: Scratch, marks: DataFrame, radius: int, block_rows: int) ->
             if not len(pdf):
                 continue
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = pdf.iloc[-1]
-            open_ = (pdf["band"] == last["band"]) & (pdf["value"] == last["value"]) & (pdf["bi"] == last["bi"]) & (pdf["bj"] == last["bj"])
+            last = pdf.iloc[-1][place]
+            open_ = (pdf[place] == last).all(axis=1)
             rest = pdf[open_]
             if not open_.all():
-                yield forest_edges(pdf[~open_], radius)
+                yield forest_edges(pdf[~open_], radius, words, node)
         if rest is not None:
-            yield forest_edges(rest, radius)
+            yield forest_edges(rest, radius, words, node)
 
-    edges = shards.select("fp", "band", "value", "block", "bi", "bj").mapInPandas(searched, "a long, b long")
-    found = components(scratch, edges)
+    columns = list(dict.fromkeys([node, *words, *place, "block"]))
+    return shards.select(*columns).mapInPandas(searched, "a long, b long")
+
+
+def linked(scratch: Scratch, marks: DataFrame, radius: int, block_rows: int) -> DataFrame:
+    """One row per distinct fingerprint of marks (id, fp): fp and component_id, the smallest id of its component."""
+    nodes = scratch.save(marks.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    keys = [
+        F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("value"))
+        for k, (s, w) in enumerate(bands(64, radius))
+    ]
+    rows = nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.band", "k.value")
+    found = components(scratch, shard_links(rows, ["fp"], "fp", radius, block_rows))
     told = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
     told = scratch.save(told.withColumn("root", F.coalesce("root", "fp")), "told")
     least = told.groupBy("root").agg(F.min("least").alias("component_id"))
     return scratch.save(told.join(least, "root").select("fp", "component_id"), "components")
 
 
+def sampled_tables(rows: int, differing: float, recall: float, shard_rows: int) -> tuple[int, int]:
+    """Bits per key and number of keys, such that a pair with that share of differing bits shares a key with
+    probability `recall`, and that a shard of unrelated rows keeps about shard_rows rows, at any number of rows."""
+    bits = max(12, math.ceil(math.log2(max(2, rows / shard_rows))))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing) ** bits))
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.99, block_rows: int = 4096, seed: int = 9) -> DataFrame:
+    """One row per row of df: id and component_id, with links between texts of at least that shingle similarity.
+
+    64 bits tell a similarity of 0.8 from unrelated texts only at a radius that no band of them serves; so this form
+    takes four words of SimHash. Texts of Jaccard similarity s differ in a share acos(2 s / (1 + s)) / pi of
+    the bits, give or take; they link when they differ in at most that share and 1.5 standard deviations more, which
+    unrelated texts never do. Shards are the values of sampled bits, as many tables of them as the recall asks for.
+    Null, empty and repeated texts and ids are as in near_duplicates.
+    """
+    scratch = Scratch(df.sparkSession, "simhash_wide")
+    width = 4
+    names = [f"f{k}" for k in range(width)]
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    total = 64 * width
+    radius = round(total * share + 1.5 * math.sqrt(total * share * (1 - share)))
+    marks = scratch.save(fingerprints(df, id_col, text_col, words, width), "marks")
+    nodes = marks.groupBy(*names).agg(F.min("id").alias("least")).withColumn("nid", F.monotonically_increasing_id())
+    nodes = scratch.save(nodes, "nodes")
+    bits, tables = sampled_tables(nodes.count(), share, recall, 64)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = np.random.default_rng(seed).permuted(np.tile(np.arange(total), (tables, 1)), axis=1)[:, :bits]
+        for pdf in batches:
+            fp = np.column_stack([pdf[c].to_numpy() for c in names]).astype("<i8")
+            ones = np.unpackbits(fp.view(np.uint8).reshape(len(pdf), -1), axis=1, bitorder="little")
+            for t in range(tables):
+                yield pdf.assign(band=np.int32(t), value=ones[:, places[t]].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)))
+
+    longs = ", ".join(f"{n} long" for n in names)
+    rows = nodes.select("nid", *names).mapInPandas(keyed, f"nid long, {longs}, band int, value long")
+    found = components(scratch, shard_links(rows, names, "nid", radius, block_rows))
+    told = nodes.join(found.select(F.col("node").alias("nid"), "root"), "nid", "left")
+    told = scratch.save(told.withColumn("root", F.coalesce("root", "nid")), "told")
+    least = told.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = scratch.save(told.join(least, "root").select(*names, "component_id"), "components")
+    return marks.join(told, names).select(F.col("id").alias(id_col), "component_id")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, block_rows: int = 4096) -> DataFrame:
     """One row per row of df: id, fingerprint (16 lowercase hex digits) and component_id.
 
@@ -184,12 +270,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, block_rows: int = 4096) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df whose id is the smallest of their component, with df's columns. Rows with a null id stay.
 
-    Rows that repeat the id and the fingerprint of a kept row stay with it.
+    Rows that repeat the id of a kept row stay with it.
     """
-    found = near_duplicates(df, id_col, text_col, words, radius, block_rows)
+    found = similar_components(df, id_col, text_col, words, similarity)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
     named = df.join(kept, df[id_col] == F.col("_kept_id"), "left_semi")
     return named.unionByName(df.where(df[id_col].isNull()))
