@@ -247,6 +247,43 @@ def test_wide_simhash_links_similar_and_no_other_texts(spark):
     assert simhash_dedup.similar_components(df.limit(0)).count() == 0
 
 
+def planted(rng, changes):
+    """A text of 400 different words, and copies of it with so many words, far from each other, changed."""
+    words = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    out = [" ".join(words)]
+    for c in changes:
+        other = list(words)
+        for k in range(c):
+            other[10 + 30 * k] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(other))
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [4096, 3])
+def test_wide_simhash_verifies_the_shingles(spark, block_rows):
+    rng = random.Random(11)
+    # 8 changed words leave a similarity of 0.82, 9 one of 0.796, 11 one of 0.756
+    rows = [t for k in range(40) for t in planted(rng, [(8,), (9,), (11,), (2, 9, 9)][k % 4])]
+    rows += ["a b c d e f g " * 40 + " ".join(f"t{k}{n}" for n in range(9)) for k in range(3)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_components(df, block_rows=block_rows).collect()}
+    sure = closure(range(len(rows)), [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if jaccard(rows[a], rows[b]) >= 0.8])
+    assert all(sure[a] == sure[b] for a, b in got.items()) and sum(got[a] == b for a, b in sure.items()) >= len(rows) - 2
+
+
+@pytest.mark.parametrize("blocks_of", [1, 2])
+def test_alike_edges_against_brute_force(blocks_of):
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(30):
+        base = rng.integers(0, 5000, 60).astype("<u8")
+        sets += [np.unique(np.concatenate([base[rng.random(60) < 0.93], rng.integers(0, 5000, 2).astype("<u8")])) for _ in range(5)]
+    block = np.arange(len(sets)) % blocks_of
+    got = simhash_dedup.alike_edges(sets, rng.integers(0, 99, (len(sets), 4), dtype=np.uint64), block, 0.8, first=2)
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if (blocks_of == 1 or block[a] != block[b]) and len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8]
+    assert len(near) > 30 and closure(range(len(sets)), got) == closure(range(len(sets)), near) and {(min(e), max(e)) for e in got} <= set(near)
+
+
 def test_forest_of_wide_values():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, (20, 4), dtype=np.uint64)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,16 +48,31 @@ def mixed(h: np.ndarray, turn: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints_of(text: str, shingle_words: int, width: int) -> list[int]:
-    """The SimHash of a text in `width` words of 64 bits: a bit is 1 if it is set in over half the hashes; 0 without words."""
+def simhash(runs: Iterable[np.ndarray], width: int) -> list[int]:
+    """The SimHash of runs of hashes in `width` words of 64 bits: a bit is 1 if it is set in over half of them; 0 without any."""
     votes, n = np.zeros((width, 64), dtype=np.int64), 0
-    for h in shingle_hashes(text, shingle_words):
+    for h in runs:
         n += len(h)
         for k in range(width):
             votes[k] += np.unpackbits(mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return [int.from_bytes(np.packbits(v * 2 > n, bitorder="little").tobytes(), "little") for v in votes]
 
 
+def fingerprints_of(text: str, shingle_words: int, width: int) -> list[int]:
+    """The SimHash of a text's shingles, repeats included."""
+    return simhash(shingle_hashes(text, shingle_words), width)
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, words)]))
+
+
+def digest_of(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of hashes, as two signed longs."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(hashes.tobytes()))
+
+
 def fingerprint(text: str, words: int = 4) -> int:
     """The 64-bit SimHash of a text's word shingles."""
     return fingerprints_of(text, words, 1)[0]
@@ -155,23 +171,59 @@ def forest_edges(pdf: pd.DataFrame, radius: int, words: list[str], node: str, st
     return pd.DataFrame({"a": names[a], "b": names[b]})[a != b]
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int, width: int = 1) -> DataFrame:
-    """(id, fp) of every row, or (id, f0, f1, …) for a width above 1."""
-    names = ["fp"] if width == 1 else [f"f{k}" for k in range(width)]
+def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, fp) of every row."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprints_of(t, words, width) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, width)
-            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(width))], names=["id", *names])
+            fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), clean_text(df, text_col).alias("text"))
-    return rows.mapInArrow(marked, ", ".join(["id long", *[f"{n} long" for n in names]]))
+    return rows.mapInArrow(marked, "id long, fp long")
+
+
+def set_fingerprints(df: DataFrame, id_col: str, text_col: str, words: int, width: int) -> DataFrame:
+    """(id, d0, d1, n, f0, f1, …) of every row: digest, size and SimHash of its shingle set."""
+    names = ["id", "d0", "d1", "n", *[f"f{k}" for k in range(width)]]
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(1).to_pylist():
+                h = shingle_set(t, words)
+                fp = simhash((h[k : k + (1 << 16)] for k in range(0, len(h), 1 << 16)), width)
+                rows.append((*digest_of(h), len(h), *np.array(fp, dtype=np.uint64).view(np.int64).tolist()))
+            columns = np.array(rows, dtype=np.int64).reshape(-1, len(names) - 1)
+            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], names=names)
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), clean_text(df, text_col).alias("text"))
+    return rows.mapInArrow(marked, ", ".join(f"{n} long" for n in names))
+
+
+def sets_of(df: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(d0, d1, hashes) of every different shingle set of df."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, words) for t in b.column(0).to_pylist()]
+            digests = np.array([digest_of(h) for h in sets], dtype=np.int64).reshape(-1, 2)
+            columns = [*(pa.array(np.ascontiguousarray(c)) for c in digests.T), pa.array([h.tobytes() for h in sets], pa.binary())]
+            yield pa.record_batch(columns, names=["d0", "d1", "hashes"])
+
+    return df.select(clean_text(df, text_col).alias("text")).mapInArrow(told, "d0 long, d1 long, hashes binary").dropDuplicates(["d0", "d1"])
 
 
 def shard_links(rows: DataFrame, words: list[str], node: str, radius: int, block_rows: int) -> DataFrame:
     """Spanning edges (a, b) of the links in the shards (band, value) of rows; hot shards are cut into block pairs."""
     place = ["band", "value", "bi", "bj"]
-    shards = blocked(rows, ["band", "value"], node, block_rows).repartition(*place).sortWithinPartitions(*place)
+    columns = list(dict.fromkeys([node, *words, *place, "block"]))
+    shards = blocked(rows, ["band", "value"], node, block_rows).select(*columns)
+    return edges_by_place(shards, place, lambda pdf: forest_edges(pdf, radius, words, node))
+
+
+def edges_by_place(rows: DataFrame, place: list[str], edges: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """The edges (a, b) that a function finds in rows, which it gets sorted by place and with no place cut apart."""
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -183,12 +235,63 @@ def shard_links(rows: DataFrame, words: list[str], node: str, radius: int, block
             open_ = (pdf[place] == last).all(axis=1)
             rest = pdf[open_]
             if not open_.all():
-                yield forest_edges(pdf[~open_], radius, words, node)
+                yield edges(pdf[~open_])
         if rest is not None:
-            yield forest_edges(rest, radius, words, node)
+            yield edges(rest)
 
-    columns = list(dict.fromkeys([node, *words, *place, "block"]))
-    return shards.select(*columns).mapInPandas(searched, "a long, b long")
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInPandas(searched, "a long, b long")
+
+
+def alike_edges(sets: list[np.ndarray], fp: np.ndarray, block: np.ndarray, similarity: float, first: int = 16) -> list[tuple[int, int]]:
+    """A spanning forest (x, y) of the pairs of sets with at least that Jaccard similarity.
+
+    With two different blocks only pairs across them count. Each set is compared with the nearest few by fingerprint
+    first, then with all that are not yet in its tree; fingerprints set the order only and exclude no pair.
+    """
+    size = np.array([len(h) for h in sets], dtype=np.int64)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    across = block.min() != block.max()
+    label, mark, out = np.arange(len(sets)), np.zeros(code.max(initial=0) + 1, dtype=bool), []
+    for x in range(1, len(sets)):
+        fit = np.minimum(size[:x], size[x]) >= similarity * np.maximum(size[:x], size[x]) - 1e-6
+        if across:
+            fit &= block[:x] != block[x]
+        others = np.flatnonzero(fit)
+        if not len(others):
+            continue
+        others = others[np.argsort(distances(fp[others], fp[x]), kind="stable")]
+        mine = code[start[x] : start[x] + size[x]]
+        mark[mine] = True
+        for part in (others[:first], others[first:]):
+            part = part[label[part] != label[x]]
+            if not len(part):
+                continue
+            n = size[part]
+            ends = np.cumsum(n)
+            shared = np.add.reduceat(mark[code[np.repeat(start[part] - ends + n, n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
+            for y in part[shared / (n + size[x] - shared) >= similarity].tolist():
+                if label[y] != label[x]:
+                    out.append((x, y))
+                    label[label == label[y]] = label[x]
+        mark[mine] = False
+    return out
+
+
+def verified_edges(pdf: pd.DataFrame, words: list[str], similarity: float) -> pd.DataFrame:
+    """Spanning edges of the alike sets in whole groups (root, bi, bj)."""
+    at = pdf[["root", "bi", "bj"]].to_numpy()
+    new = np.flatnonzero(np.append((at[1:] != at[:-1]).any(axis=1), True)) + 1
+    fp = np.column_stack([pdf[c].to_numpy().view(np.uint64) for c in words])
+    names, block, hashes = pdf["nid"].to_numpy(), pdf["block"].to_numpy(), pdf["hashes"].to_numpy()
+    found, low = [], 0
+    for high in new.tolist():
+        # a group of two blocks of which one has no rows has nothing to compare
+        if high - low > 1 and (at[low, 1] == at[low, 2] or len(np.unique(block[low:high])) == 2):
+            sets = [np.frombuffer(h, "<u8") for h in hashes[low:high]]
+            found += [(names[low + x], names[low + y]) for x, y in alike_edges(sets, fp[low:high], block[low:high], similarity)]
+        low = high
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
 def linked(scratch: Scratch, marks: DataFrame, radius: int, block_rows: int) -> DataFrame:
@@ -217,19 +320,20 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of df: id and component_id, with links between texts of at least that shingle similarity.
 
     64 bits tell a similarity of 0.8 from unrelated texts only at a radius that no band of them serves; so this form
-    takes four words of SimHash. Texts of Jaccard similarity s differ in a share acos(2 s / (1 + s)) / pi of
-    the bits, give or take; they link when they differ in at most that share and 1.5 standard deviations more, which
-    unrelated texts never do. Shards are the values of sampled bits, as many tables of them as the recall asks for.
+    takes four words of SimHash, over the distinct shingles. Texts of Jaccard similarity s differ in a share
+    acos(2 s / (1 + s)) / pi of the bits, give or take; those that differ in at most that share and 1.5 standard
+    deviations more are candidates. Within the components of the candidates the shingle sets themselves are compared, and
+    only pairs of at least the similarity link. Shards are the values of sampled bits, as many tables of them as the recall asks for.
     Null, empty and repeated texts and ids are as in near_duplicates.
     """
-    scratch = Scratch(df.sparkSession, "simhash_wide")
+    scratch, sure = Scratch(df.sparkSession, "simhash_wide"), Scratch(df.sparkSession, "simhash_sure")
     width = 4
-    names = [f"f{k}" for k in range(width)]
+    names, digest = [f"f{k}" for k in range(width)], ["d0", "d1"]
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     total = 64 * width
     radius = round(total * share + 1.5 * math.sqrt(total * share * (1 - share)))
-    marks = scratch.save(fingerprints(df, id_col, text_col, words, width), "marks")
-    nodes = marks.groupBy(*names).agg(F.min("id").alias("least")).withColumn("nid", F.monotonically_increasing_id())
+    marks = scratch.save(set_fingerprints(df, id_col, text_col, words, width), "marks")
+    nodes = marks.groupBy(*digest, "n", *names).agg(F.min("id").alias("least")).withColumn("nid", F.monotonically_increasing_id())
     nodes = scratch.save(nodes, "nodes")
     bits, tables = sampled_tables(nodes.count(), share, recall, 64)
 
@@ -243,12 +347,23 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     longs = ", ".join(f"{n} long" for n in names)
     rows = nodes.select("nid", *names).mapInPandas(keyed, f"nid long, {longs}, band int, value long")
-    found = components(scratch, shard_links(rows, names, "nid", radius, block_rows))
+    loose = components(scratch, shard_links(rows, names, "nid", radius, block_rows))
+    loose = scratch.save(nodes.join(loose.select(F.col("node").alias("nid"), "root"), "nid"), "loose")
+
+    ids = loose.select(F.col("least").alias("_loose_id")).where("_loose_id IS NOT NULL").distinct()
+    texts = df.join(ids, df[id_col].cast("long") == F.col("_loose_id"), "left_semi").select(text_col)
+    texts = texts.unionByName(df.where(df[id_col].cast("long").isNull()).select(text_col))
+    sets = sets_of(texts, text_col, words)
+    # a group holds about two blocks of 256 * block_rows hashes, or of block_rows sets
+    held = blocked(loose, ["root"], "nid", block_rows, F.greatest(F.lit(1.0), F.col("n") / 256))
+    held = held.select("nid", "root", "bi", "bj", "block", *names, *digest).join(sets, digest).drop(*digest)
+    found = components(sure, edges_by_place(held, ["root", "bi", "bj"], lambda pdf: verified_edges(pdf, names, similarity)))
+
     told = nodes.join(found.select(F.col("node").alias("nid"), "root"), "nid", "left")
     told = scratch.save(told.withColumn("root", F.coalesce("root", "nid")), "told")
     least = told.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = scratch.save(told.join(least, "root").select(*names, "component_id"), "components")
-    return marks.join(told, names).select(F.col("id").alias(id_col), "component_id")
+    told = scratch.save(told.join(least, "root").select(*digest, "component_id"), "components")
+    return marks.join(told, digest).select(F.col("id").alias(id_col), "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, block_rows: int = 4096) -> DataFrame:
