@@ -1,8 +1,10 @@
 import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -271,6 +273,17 @@ def test_wide_simhash_verifies_the_shingles(spark, block_rows):
     assert all(sure[a] == sure[b] for a, b in got.items()) and sum(got[a] == b for a, b in sure.items()) >= len(rows) - 2
 
 
+@pytest.mark.parametrize("rows", [10, 10**4, 10**6, 10**8])
+def test_sampled_tables_hold_the_recall_at_the_radius(rows):
+    bits, tables = simhash_dedup.sampled_tables(rows, 56, 256, 0.99, 64)
+    alike = math.comb(200, bits) / math.comb(256, bits)
+    assert rows / 2**bits <= 64 and 0.99 <= 1 - (1 - alike) ** tables < 0.991
+    rng = np.random.default_rng(3)
+    places = simhash_dedup.sampled_places(bits, tables, 256, 9)
+    differing = rng.permuted(np.tile(np.arange(256) < 56, (1000, 1)), axis=1)
+    assert np.mean([(~d[places]).all(axis=1).any() for d in differing]) > 0.975
+
+
 @pytest.mark.parametrize("blocks_of", [1, 2])
 def test_alike_edges_against_brute_force(blocks_of):
     rng = np.random.default_rng(8)
@@ -284,6 +297,15 @@ def test_alike_edges_against_brute_force(blocks_of):
     assert len(near) > 30 and closure(range(len(sets)), got) == closure(range(len(sets)), near) and {(min(e), max(e)) for e in got} <= set(near)
 
 
+def test_forest_edges_are_a_forest():
+    rng = np.random.default_rng(5)
+    fp = np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))
+    fp = np.unique(fp ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)))
+    pdf = pd.DataFrame({"nid": np.arange(len(fp)), "f0": fp.view(np.int64), "band": 0, "value": 0, "bi": 0, "bj": 0, "block": 0})
+    got = simhash_dedup.forest_edges(pdf, 4, ["f0"], "nid", step=50)
+    assert len(got) < len(fp) and set(closure(range(len(fp)), got.itertuples(index=False)).values()) == {0}
+
+
 def test_forest_of_wide_values():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, (20, 4), dtype=np.uint64)

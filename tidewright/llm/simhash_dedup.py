@@ -166,7 +166,10 @@ def forest_edges(pdf: pd.DataFrame, radius: int, words: list[str], node: str, st
                 b.append(ends[label])
     if not a:
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    a, b = np.concatenate(a), np.concatenate(b)
+    # one forest of all parts and levels, so that a shard gives fewer edges than it has rows
+    ends, edge = np.unique(np.concatenate((*a, *b)), return_inverse=True)
+    label = local_components(len(ends), *np.split(edge, 2))
+    a, b = ends, ends[label]
     names = pdf[node].to_numpy()
     return pd.DataFrame({"a": names[a], "b": names[b]})[a != b]
 
@@ -309,11 +312,20 @@ def linked(scratch: Scratch, marks: DataFrame, radius: int, block_rows: int) ->
     return scratch.save(told.join(least, "root").select("fp", "component_id"), "components")
 
 
-def sampled_tables(rows: int, differing: float, recall: float, shard_rows: int) -> tuple[int, int]:
-    """Bits per key and number of keys, such that a pair with that share of differing bits shares a key with
-    probability `recall`, and that a shard of unrelated rows keeps about shard_rows rows, at any number of rows."""
+def sampled_tables(rows: int, differing: int, total: int, recall: float, shard_rows: int) -> tuple[int, int]:
+    """Bits per key and number of keys, such that a pair that differs in that many of `total` bits shares a key with
+    probability `recall` or more, and that a shard of unrelated rows keeps about shard_rows rows, at any number of rows.
+
+    The bits of a key are drawn without replacement; pairs that differ in fewer bits share one more often.
+    """
     bits = max(12, math.ceil(math.log2(max(2, rows / shard_rows))))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing) ** bits))
+    alike = math.prod((total - differing - k) / (total - k) for k in range(bits))
+    return bits, math.ceil(math.log(1 - recall) / math.log1p(-alike))
+
+
+def sampled_places(bits: int, tables: int, total: int, seed: int) -> np.ndarray:
+    """The places of the bits of each table's key, one row a table."""
+    return np.random.default_rng(seed).permuted(np.tile(np.arange(total), (tables, 1)), axis=1)[:, :bits]
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.99, block_rows: int = 4096, seed: int = 9) -> DataFrame:
@@ -321,7 +333,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     64 bits tell a similarity of 0.8 from unrelated texts only at a radius that no band of them serves; so this form
     takes four words of SimHash, over the distinct shingles. Texts of Jaccard similarity s differ in a share
-    acos(2 s / (1 + s)) / pi of the bits, give or take; those that differ in at most that share and 1.5 standard
+    acos(2 s / (1 + s)) / pi of the bits, give or take; those that differ in at most that share and 3 standard
     deviations more are candidates. Within the components of the candidates the shingle sets themselves are compared, and
     only pairs of at least the similarity link. Shards are the values of sampled bits, as many tables of them as the recall asks for.
     Null, empty and repeated texts and ids are as in near_duplicates.
@@ -331,14 +343,14 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names, digest = [f"f{k}" for k in range(width)], ["d0", "d1"]
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     total = 64 * width
-    radius = round(total * share + 1.5 * math.sqrt(total * share * (1 - share)))
+    radius = round(total * share + 3 * math.sqrt(total * share * (1 - share)))
     marks = scratch.save(set_fingerprints(df, id_col, text_col, words, width), "marks")
     nodes = marks.groupBy(*digest, "n", *names).agg(F.min("id").alias("least")).withColumn("nid", F.monotonically_increasing_id())
     nodes = scratch.save(nodes, "nodes")
-    bits, tables = sampled_tables(nodes.count(), share, recall, 64)
+    bits, tables = sampled_tables(nodes.count(), radius, total, recall, 64)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = np.random.default_rng(seed).permuted(np.tile(np.arange(total), (tables, 1)), axis=1)[:, :bits]
+        places = sampled_places(bits, tables, total, seed)
         for pdf in batches:
             fp = np.column_stack([pdf[c].to_numpy() for c in names]).astype("<i8")
             ones = np.unpackbits(fp.view(np.uint8).reshape(len(pdf), -1), axis=1, bitorder="little")
