@@ -34,6 +34,13 @@ def test_consensus_beats_a_page_that_misleads(spark):
     assert alone.startswith("long words here")
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_an_article_split_over_siblings_is_whole(spark, tag):
+    page = f"<body><{tag}><h1>Title</h1><div class=lead><p>{'lead ' * 30}</p></div><div class=body><p>{'body ' * 70}</p></div></{tag}><div class=x><p>Out</p></div></body>"
+    got = html_extract.extract_text(pages(spark, [(k, "https://split.example/p", page, 0) for k in range(3)])).collect()
+    assert {r["text"] for r in got} == {"\n".join(["Title", ("lead " * 30).strip(), ("body " * 70).strip()])}
+
+
 def test_parser_survives_broken_markup():
     for bad in ("<", "<p", "<p><", "</p></p>", "<div class=\"x><p>y</p>", "<script>x", "<!-- never closed <p>a", "<a href='>'>t</a>", "&#x110000;&bad;&", "<p>" * 3000 + "z", "<table><tr><td>a<td>b<tr><td>c</table>"):
         html_extract.blocks_of(bad)

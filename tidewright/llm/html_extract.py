@@ -189,6 +189,20 @@ def best_path(scores: dict[str, float]) -> str:
     return min(scores, key=lambda p: (-scores[p], p), default="")
 
 
+def elected(found: list[tuple[Element, str, int]], scores: dict[str, float]) -> str:
+    """The path of a page's best container, or of the article or main around it, whose other parts belong to the text."""
+    path = best_path(scores)
+    for element, _, _ in found:
+        x = element
+        while x is not None and x.path != path:
+            x = x.parent
+        if x is not None:
+            while x is not None and x.tag not in ("article", "main"):
+                x = x.parent
+            return path if x is None else x.path
+    return path
+
+
 def text_at(found: list[tuple[Element, str, int]], paths: list[str]) -> str | None:
     """The blocks below the first of the paths that the page has, joined by line feeds; None if it has none of them."""
     for path in paths:
@@ -204,9 +218,10 @@ def vote(pages: DataFrame, host: str, html_col: str) -> DataFrame:
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [container_scores(blocks_of(x or "")) for x in b.column(1).to_pylist()]
-            paths = [best_path(s) for s in found]
-            scores = [s.get(p, 0.0) for s, p in zip(found, paths, strict=True)]
+            found = [blocks_of(x or "") for x in b.column(1).to_pylist()]
+            marks = [container_scores(f) for f in found]
+            paths = [elected(f, s) for f, s in zip(found, marks, strict=True)]
+            scores = [s.get(p, 0.0) for s, p in zip(marks, paths, strict=True)]
             yield pa.record_batch([b.column(0), pa.array(paths), pa.array(scores, pa.float64())], names=["host", "path", "score"])
 
     votes = pages.select(F.col(host).alias("host"), F.col(html_col).alias("html")).mapInArrow(best, "host string, path string, score double")
@@ -224,7 +239,8 @@ def winners(votes: DataFrame, least_share: float = 0.1) -> DataFrame:
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_share: float = 0.1) -> DataFrame:
     """pages without the html, with text and n_chars (code points).
 
-    Every page's containers are scored and its best one's generalised path votes for the page's host. The page's text is
+    Every page's containers are scored and the generalised path of its best one, or of the article or main around that
+    one, votes for the page's host. The page's text is
     then taken anew from the host's winning paths, in the order of their votes, or from its own best container
     where it has none of them. A null or empty html, or one without an article, gives the empty text. Pages without a
     host vote together. Columns of the added names are replaced; an empty table gives an empty result.
@@ -243,7 +259,7 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
             for page, paths in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
                 found = blocks_of(page or "")
                 text = text_at(found, paths or [])
-                texts.append(text if text is not None else text_at(found, [best_path(container_scores(found))]) or "")
+                texts.append(text if text is not None else text_at(found, [elected(found, container_scores(found))]) or "")
             yield pa.record_batch([*b.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return rows.mapInArrow(extract, schema)
