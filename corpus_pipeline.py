@@ -48,7 +48,7 @@ STAGES = [
     ("byte-level BPE", byte_level_bpe),
 ]
 
-#: SQL expresses neither the classifier nor the fingerprints; tests hold run() against a plain version.
+#: SQL expresses neither the classifier nor the fingerprints; tests hold both dedup stages against brute force, the others to their rules.
 ORACLE_SQL = None
 
 

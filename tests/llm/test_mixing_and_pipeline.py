@@ -135,3 +135,28 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    docs = {r["text"] or "": r for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()}
+    rows = [(r["doc_id"], t) for t, r in docs.items()]
+    for k in range(8):
+        base = [f"p{k}x{n}" for n in range(400)]
+        # 8 words far from each other leave a similarity of 0.82, 9 one of 0.796
+        rows.append((10**6 + 10 * k, " ".join(base)))
+        for c in (8, 9):
+            rows.append((10**6 + 10 * k + c, " ".join(f"q{c}{w}" if n % 30 == 10 and n < 30 * c else w for n, w in enumerate(base))))
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both / max(1, len(sets[a]) + len(sets[b]) - both) >= 0.8 or sets[a] == sets[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    got = corpus_pipeline.simhash_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, r in root.items() if i == r)
