@@ -23,6 +23,17 @@ def clean_text(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of names that df does not have: the name itself, or with underscores after it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the documents that no model may learn from. A null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -31,14 +42,16 @@ def held_out(doc_id: Column) -> Column:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one that spark.checkpoint.dir names. Only where neither that setting nor a checkpoint folder
-    of the context exists (local mode, as in tests) a temporary folder is made and set.
+    It is the one that spark.checkpoint.dir names, or the context's checkpoint folder. Where neither exists a
+    temporary folder is made and set in local mode, as in tests; on a cluster, whose machines would not share it, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = there.get() if there.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidewright-")
         spark.sparkContext.setCheckpointDir(root)
     return root

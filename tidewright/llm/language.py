@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, held_out
+from .common import clean_text, held_out, unused
 from .quality import sample_hash
 
 LETTERS: list[np.ndarray] = []
@@ -149,12 +149,16 @@ def identify_languages(docs: DataFrame, model: CentroidModel, text_col: str = "t
 
     lang_pred is the language of the nearest centroid, `und` with score 0 where the text is null or has no letter.
     rejected marks texts farther from it than nearly all training texts of that language; whoever wants no guess
-    there takes `und` for them. Columns of the added names are replaced.
+    there takes `und` for them. Of languages that are equally near the first in code point order is taken. Rows are
+    judged alone, so repeated rows agree; a long text is counted whole, in memory of a few times its own size. An
+    empty table gives an empty result, a model fitted on no rows `und` everywhere. Columns of the added names are
+    replaced, all others stay.
     """
     added = ("lang_pred", "score", "rejected")
-    others = [c for c in docs.columns if c not in (*added, "_lang_text")]
-    rows = docs.select(*others, clean_text(docs, text_col).alias("_lang_text"))
-    schema = rows.drop("_lang_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    others = [c for c in docs.columns if c not in added]
+    (letters,) = unused(docs, "lang_text")
+    rows = docs.select(*others, clean_text(docs, text_col).alias(letters))
+    schema = rows.drop(letters).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

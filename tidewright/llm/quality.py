@@ -11,20 +11,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, held_out
+from .common import clean_text, held_out, unused
 
 
 class CompressionModel:
-    """Two zstandard dictionaries, of good and of bad text, and a logistic calibration.
+    """Two zstandard dictionaries, of good and of bad text, and a logistic calibration of one number.
 
     A text is compressed with either dictionary in chunks, each from a fresh state, so that the dictionary counts as
-    much at the end of a long text as at its start. The features are the difference of the compressed sizes over their
-    sum and over the raw size, and the compressed size itself against the raw one (text that repeats itself, and text
-    that neither dictionary knows) with the length, on which the latter depends.
+    much at the end of a long text as at its start. The number is the difference of the compressed sizes, normalised by
+    the raw size: what a byte of the text saves with the good dictionary against the bad one. Text that repeats one
+    word shrinks alike with both and lies near zero, far below good text.
     """
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray, center: np.ndarray, scale: np.ndarray, prior: float, chunk: int):
-        self.good, self.bad, self.weights, self.center, self.scale, self.prior, self.chunk = good, bad, weights, center, scale, prior, chunk
+    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray, prior: float, chunk: int, level: int = 3):
+        """weights: the calibration's constant and its slope over the difference."""
+        self.good, self.bad, self.weights, self.prior, self.chunk, self.level = good, bad, weights, prior, chunk, level
         self._ready = None
 
     def __getstate__(self):
@@ -33,80 +34,99 @@ class CompressionModel:
     def _compressors(self):
         if self._ready is None:
             self._ready = [
-                zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+                zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False)
                 for d in (self.good, self.bad)
             ]
         return self._ready
 
-    def features(self, text: str) -> list[float]:
+    def difference(self, text: str) -> float:
+        """(compressed size with the bad dictionary - with the good one) / raw size; 0 for the empty text."""
         raw = text.encode()
-        n = len(raw)
-        if not n:
-            return [0.0] * 6
-        good, bad = (sum(len(c.compress(raw[k : k + self.chunk])) for k in range(0, n, self.chunk)) for c in self._compressors())
-        ratio = float(np.log((good + bad) / 2 / n))
-        return [(bad - good) / (bad + good), (bad - good) / n, ratio, ratio * ratio, float(np.log1p(n)), float(n**-0.5)]
+        good, bad = (sum(len(c.compress(raw[k : k + self.chunk])) for k in range(0, len(raw), self.chunk)) for c in self._compressors())
+        return (bad - good) / max(1, len(raw))
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        x = (np.array([self.features(t) for t in texts]) - self.center) / self.scale
-        z = self.weights[0] + x @ self.weights[1:]
+        z = self.weights[0] + self.weights[1] * np.array([self.difference(t) for t in texts])
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         return np.where([not t for t in texts], self.prior, p)
 
 
-def dictionary(texts: list[str], common: set[str], size: int) -> bytes:
-    """A zstandard dictionary of the texts without their common lines; raw content where training has too little."""
+def dictionaries(classes: list[list[str]], common: set[str], size: int) -> list[bytes]:
+    """A zstandard dictionary of each class of texts without the common lines, all of the same number of bytes.
+
+    Trained ones are as large as the smallest class allows; raw content where training has too little.
+    """
     pieces = []
-    for t in texts:
-        raw = "\n".join(line for line in t.split("\n") if line not in common).encode()
-        pieces += [raw[k : k + 1024] for k in range(0, len(raw), 1024) if len(raw) - k >= 8]
+    for texts in classes:
+        raw = ["\n".join(line for line in t.split("\n") if line not in common).encode() for t in texts]
+        pieces.append([t[k : k + 1024] for t in raw for k in range(0, len(t), 1024) if len(t) - k >= 8])
     try:
-        return zstandard.train_dictionary(size, pieces).as_bytes()
+        # without k and d the library tries several and often ends after a few kilobytes
+        found = [zstandard.train_dictionary(size, p, k=400, d=8).as_bytes() for p in pieces]
+        least = min(map(len, found))
+        found = [d if len(d) == least else zstandard.train_dictionary(least, p, k=400, d=8).as_bytes() for d, p in zip(found, pieces, strict=True)]
+        if {len(d) for d in found} == {least}:
+            return found
     except (zstandard.ZstdError, ValueError):
-        return b"".join(pieces)[-size:] or b"\n" * 8
+        pass
+    whole = [b"".join(p) for p in pieces]
+    least = min(size, *map(len, whole))
+    return [x[len(x) - least :] if least >= 8 else b"\n" * 8 for x in whole]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the first weight is the constant."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 200) -> np.ndarray:
+    """Ridge logistic regression by damped Newton steps; the first weight is the constant.
+
+    Each step is halved until the loss falls enough, so the fit converges from any sample; an error if it does not.
+    """
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return w
-
 
-def fit_rows(rows: list[tuple[int, str]], sizes: dict[int, int] | None = None, dictionary_bytes: int = 112 << 10, chunk: int = 4096) -> CompressionModel:
-    """Fits on (quality, text) rows in their order: every other row goes to the dictionaries, the rest to the calibration.
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + ridge / 2 * w @ w)
 
-    Lines that several rows of the dictionary half share say nothing about quality and are left out. Both dictionaries
-    are as large as half of the smaller class allows, so that neither wins by its size. sizes, the classes' numbers of
-    labelled rows where rows is a sample, set the calibration's prior odds. With rows of one class, or none, every score is the smoothed share of class 1.
+    now = loss(w)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (p - y) + ridge * w
+        if np.abs(slope).max() <= 1e-8 * len(y):
+            return w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+        t = 1.0
+        while (then := loss(w - t * step)) > now - 1e-4 * t * (slope @ step):
+            t /= 2
+            if t < 1e-12:
+                return w
+        w, now = w - t * step, then
+    raise RuntimeError("the calibration did not converge")
+
+
+def fit_rows(rows: list[tuple[int, str]], sizes: dict[int, int] | None = None, dictionary_bytes: int = 112 << 10, chunk: int = 1024) -> CompressionModel:
+    """Fits on (quality, text) rows in their order: every other text goes to the dictionaries, the rest to the calibration.
+
+    A text that a class repeats counts once, so that no copy of a dictionary's text calibrates it. Lines that several
+    texts of the dictionary half share say nothing about quality and are left out. Both dictionaries have the same size,
+    so that neither wins by its own. sizes, the classes' numbers of labelled rows where rows is a sample, set the
+    calibration's prior odds. With rows of one class, or none, every score is the smoothed share of class 1.
     """
-    y = np.array([q for q, _ in rows], dtype=np.float64)
-    ones, zeros = (sizes.get(1, 0), sizes.get(0, 0)) if sizes else (y.sum(), (1 - y).sum())
+    ones, zeros = (sizes.get(1, 0), sizes.get(0, 0)) if sizes else (sum(q == 1 for q, _ in rows), sum(q == 0 for q, _ in rows))
     prior = float((ones + 1) / (ones + zeros + 2))
-    shown = {q: [t for k, (c, t) in enumerate(r for r in rows if r[0] == q) if k % 2 == 0 and t] for q in (0, 1)}
-    kept = [(q, t) for q in (0, 1) for k, (c, t) in enumerate(r for r in rows if r[0] == q) if k % 2 == 1 and t]
+    different = {q: list(dict.fromkeys(t for c, t in rows if c == q and t)) for q in (0, 1)}
+    shown = {q: different[q][::2] for q in (0, 1)}
+    kept = [(q, t) for q in (0, 1) for t in different[q][1::2]]
     lines = Counter(line for q in (0, 1) for t in shown[q] for line in set(t.split("\n")))
     common = {line for line, n in lines.items() if n > 1}
-    shorter = min(sum(len(t) for t in shown[q]) for q in (0, 1))
-    size = min(dictionary_bytes, max(4096, shorter // 2))
-    good, bad = dictionary(shown[1], common, size), dictionary(shown[0], common, size)
-    model = CompressionModel(good, bad, np.zeros(7), np.zeros(6), np.ones(6), prior, chunk)
-    if not kept or len({q for q, _ in kept}) < 2:
-        model.weights[0] = np.log(prior / (1 - prior))
+    good, bad = dictionaries([shown[1], shown[0]], common, dictionary_bytes)
+    model = CompressionModel(good, bad, np.array([np.log(prior / (1 - prior)), 0.0]), prior, chunk)
+    y = np.array([q for q, _ in kept], dtype=np.float64)
+    if len(set(y.tolist())) < 2:
         return model
-    x = np.array([model.features(t) for _, t in kept])
-    model.center, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = logistic((x - model.center) / model.scale, np.array([q for q, _ in kept], dtype=np.float64))
-    drawn = (y.sum() + 1) / (len(y) + 2)
-    model.weights[0] += np.log(prior / (1 - prior)) - np.log(drawn / (1 - drawn))
+    x = np.array([model.difference(t) for _, t in kept])
+    center, scale = float(x.mean()), float(x.std()) + 1e-9
+    w = logistic(((x - center) / scale)[:, None], y)
+    drawn = y.mean()
+    model.weights += [w[0] - np.log(drawn / (1 - drawn)) - w[1] * center / scale, w[1] / scale]
     return model
 
 
@@ -139,17 +159,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = 4000, sample
 def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs with score (0 to 1, likelier good when higher) and predicted (1 where the score reaches the threshold).
 
-    Whole texts are scored, row by row. A null or empty text gets the training share of good rows. Columns of the
-    added names are replaced.
+    Whole texts are scored, row by row and in chunks, so that long texts need no more memory than themselves, and
+    repeated rows score alike. A null or empty text gets the training share of good rows; a score that ties with the
+    threshold is predicted good; an empty table gives an empty result. Columns named score or predicted are replaced,
+    all others stay.
     """
-    others = [c for c in docs.columns if c not in ("score", "predicted", "_scored_text")]
-    rows = docs.select(*others, clean_text(docs, text_col).alias("_scored_text"))
-    schema = rows.drop("_scored_text").schema.add("score", "double").add("predicted", "integer")
+    others = [c for c in docs.columns if c not in ("score", "predicted")]
+    (text,) = unused(docs, "scored_text")
+    rows = docs.select(*others, clean_text(docs, text_col).alias(text))
+    schema = rows.drop(text).schema.add("score", "double").add("predicted", "integer")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
                 p = model.scores(part.column(len(others)).to_pylist())
                 yield pa.record_batch([*part.columns[: len(others)], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[*others, "score", "predicted"])
 
