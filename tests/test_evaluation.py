@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,8 @@ from tidewright.operators import dataset as D
 from tidewright.operators import gates as G
 from tidewright.operators import metrics as M
 from tidewright.operators import models as E
+from tidewright.operators import selection as SE
+from tidewright.plans import stages as S
 from tidewright.schema import ValidationError
 
 H = 3_600_000
@@ -166,3 +169,48 @@ def test_one_shot_protocol(spark):
     assert guard.read_test(spark.range(1), {"data": "1"}).count() == 1
     with pytest.raises(ValidationError):
         guard.read_test(spark.range(1), {"data": "1"})
+
+
+def test_isotonic_with_thousands_of_knots_and_a_saved_calibrator(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    knots = np.unique(np.sort(rng.random(3000)))
+    values = np.sort(rng.random(len(knots)))
+    fit = E.Calibrator("ISOTONIC", boundaries=knots.tolist(), values=values.tolist())
+    p = np.concatenate([[0.0, 1.0, knots[0], knots[-1]], knots[5:9], rng.random(300)])
+    df = spark.createDataFrame([(float(x),) for x in p] + [(None,)], "p double")
+    E.save_calibrator(fit, str(tmp_path / "c.json"))
+    for c in (fit, E.load_calibrator(str(tmp_path / "c.json"))):
+        got = [r[0] for r in df.select(c.apply(F.col("p"))).collect()]
+        assert got[-1] is None and np.allclose(got[:-1], np.interp(p, knots, values), atol=1e-12)
+    one = E.Calibrator("ISOTONIC", boundaries=[0.4], values=[0.3])
+    assert {r[0] for r in df.where("p IS NOT NULL").select(one.apply(F.col("p"))).collect()} == {0.3}
+
+
+def test_metric_differences_sees_nulls_and_missing_rows(spark):
+    a = spark.createDataFrame([("x", 1.0, None), ("y", 2.0, 3.0), ("z", 1.0, 1.0)], "k string, m double, n double")
+    b = spark.createDataFrame([("x", 1.0, 0.5), ("y", 2.0, 3.0), ("w", 1.0, 1.0)], "k string, m double, n double")
+    assert S.metric_differences(a, a, ["k"], ["m", "n"]) == 0
+    assert S.metric_differences(a, b, ["k"], ["m", "n"]) == 3
+    assert S.metric_differences(a, a.withColumn("m", F.col("m") + 1e-6), ["k"], ["m", "n"]) == 3
+
+
+def test_calibration_choice_on_the_default_and_the_small_gains(spark):
+    def table(platt, isotonic):
+        rows = []
+        for method, loss in (("UNCALIBRATED", 0.6870), ("PLATT", platt), ("ISOTONIC", isotonic)):
+            for fold in ("fold_2021", "fold_2022", "fold_2023", "fold_2024", "POOLED"):
+                for subset in ("DENSE", "NONOVERLAP_OFFSET_00"):
+                    rows.append((method, fold, subset, loss, loss / 3, 0.01))
+        return spark.createDataFrame(rows, "method string, calibration_fold string, subset_name string, log_loss double, brier double, ece_equal_frequency double")
+
+    chosen = lambda t: SE.choose_calibration(t).where("selected").first()["method"]
+    assert chosen(table(0.6860, 0.6861)) == "PLATT" and chosen(table(0.68695, 0.68696)) == "UNCALIBRATED" and chosen(table(0.7, 0.71)) == "UNCALIBRATED"
+
+
+def test_assessment_of_the_final_test(spark):
+    def said(auc, apart, gates=True):
+        rows = [("m", "DENSE", auc, 0.68), ("m", "NONOVERLAP_OFFSET_00", apart, 0.68), ("l", "NONOVERLAP_OFFSET_00", 0.52, 0.69), ("p", "NONOVERLAP_OFFSET_00", None, 0.693)]
+        return SE.assess_test(spark.createDataFrame(rows, "model_name string, subset_name string, roc_auc double, log_loss double"), "m", "l", "p", gates).first()["assessment"]
+
+    assert said(0.53, 0.54) == "READY_FOR_RESEARCH_DEPLOYMENT" and said(0.53, 0.49) == "FAILED_FINAL_VALIDATION"
+    assert said(0.53, 0.51) == "WEAK_SIGNAL_RESEARCH_ONLY" and said(0.53, 0.54, gates=False) == "FAILED_FINAL_VALIDATION"

@@ -176,3 +176,26 @@ def test_scalars(spark):
         X.reasons([(F.lit(True), "A"), (F.lit(False), "B"), (F.lit(True), "A"), (F.lit(None).cast("boolean"), "C")]).alias("why"), X.abs_bps(F.lit(-0.00025)).alias("bps"),
     ).first()
     assert (r["t"], r["f"], r["n"], r["x"], r["nan"], r["null"], r["seven"], r["utc"], r["ms"], r["unit"], r["why"], r["bps"]) == (True, False, None, 1000.0, None, None, 7.0, "2022-09-02T00:00:00Z", M0, "seconds", "A", 2.5)
+
+
+@pytest.mark.parametrize("width", [60_000, 180_000, 10**9])
+def test_runs_in_any_buckets(spark, width):
+    times = [M0 + k * 60_000 for k in (0, 1, 2, 5, 6, 6.5, 7, 20, 21, 40)]
+    got = sorted((r["t"], r["previous"], r["run"]) for r in O.runs(spark.createDataFrame([(int(t),) for t in times], "t long"), "t", 60_000, width).collect())
+    want, run = [], 0
+    for k, t in enumerate(times):
+        run += k > 0 and t - times[k - 1] != 60_000
+        want.append((int(t), int(times[k - 1]) if k else None, run))
+    assert got == want and O.runs(spark.createDataFrame([], "t long"), "t", 60_000).count() == 0
+
+
+def test_even_width(spark):
+    df = spark.range(0, 10_000)
+    assert O.even_width(df, "id") == 100 and O.even_width(df.limit(0), "id") == 1 and O.even_width(df.limit(1), "id") == 1
+
+
+def test_a_stored_table_is_computed_once(spark):
+    from tidewright.sources.scratch import stored
+
+    t = stored(spark.range(5).withColumn("x", F.rand()), "t")
+    assert sorted(map(tuple, t.collect())) == sorted(map(tuple, t.collect())) and "Rand" not in t._jdf.queryExecution().toString()

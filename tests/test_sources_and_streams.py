@@ -126,3 +126,36 @@ def test_sessions_first_and_last(spark, tmp_path):
         spark.createDataFrame([(M0 + 3_600_000, 101.0, 0), (M0 + 3_660_000, 1.0, 1)], "open_time long, open double, continuity_segment_id long"),
     ).collect()
     assert [(r["decision_time"], r["label_up_60m"]) for r in labels] == [(M0, 1)]
+
+
+def test_a_stream_passes_a_gap_in_trading_and_sends_its_parameters():
+    step, asked = 60_000, []
+    rows = [[M0 + k * step, *["1"] * 5, M0 + k * step + 59_999, "1", 1, "1", "1"] for k in (0, 1, 5000)]
+
+    def fetch(params):
+        asked.append(params)
+        span = [r for r in rows if params["startTime"] <= r[0] < params["startTime"] + 1000 * step]
+        return span[: params["limit"]]
+
+    options = {"kind": "bars", "start": str(M0), "end": str(M0 + 6000 * step), "step": str(step), "symbol": "S", "interval": "1m"}
+    stream = R.PagedStream(options, fetch, now=lambda: (M0 + 5500 * step) / 1000)
+    at, got = stream.initialOffset(), []
+    for _ in range(8):
+        part, at = stream.read(at)
+        got += [r[0] for r in part]
+    assert got == [r[0] for r in rows] and at["cursor"] == M0 + 5001 * step  # the span beyond now is waited for
+    assert all(a["symbol"] == "S" and a["interval"] == "1m" for a in asked)
+    assert [r[0] for r in stream.readBetweenOffsets({"cursor": M0}, at)] == got
+    ended = R.PagedStream(options | {"end": str(M0 + 10)}, fetch, now=lambda: 1e12)
+    assert list(ended.read({"cursor": M0 + 10})[0]) == []
+
+
+@pytest.mark.parametrize("kind", sorted(R.METRICS))
+def test_metrics_endpoints_are_read_with_the_schema_of_their_first_page(spark, tmp_path, kind):
+    rows = [{"timestamp": str(M0 + k * 300_000), "zeta": k, "alpha": f"{k}.5"} for k in range(700)]
+    (tmp_path / "m.json").write_text(json.dumps(rows))
+    R.register(spark)
+    df = spark.read.format("paged_rest").options(kind=kind, recorded=str(tmp_path / "m.json"), symbol="S", period="5m", start=M0, end=M0 + 700 * 300_000).load()
+    assert df.columns == ["symbol", "timestamp", "timestamp_utc", "alpha", "zeta"] and df.schema["timestamp"].dataType.simpleString() == "bigint"
+    got = df.orderBy("timestamp").collect()
+    assert len(got) == 700 and got[3]["alpha"] == "3.5" and got[0]["symbol"] == "S" and got[0]["timestamp_utc"].startswith("2022-09-02T00:00:00")

@@ -67,6 +67,29 @@ def test_stages_from_raw_rows_to_the_final_test(spark, run, tmp_path, monkeypatc
     report = json.loads(open(run.at("reports/stage9.json")).read())
     assert report["facts"]["calibration"] in ("UNCALIBRATED", "PLATT", "ISOTONIC") and report["telemetry"]["total_seconds"] > 0
     assert FE.FEATURES[0] == "log_return_1m"
+    assert report["facts"]["assessment"] in ("FAILED_FINAL_VALIDATION", "READY_FOR_RESEARCH_DEPLOYMENT", "WEAK_SIGNAL_RESEARCH_ONLY") and report["facts"]["gates"]["all_passed"]
+    final = run.table("final_predictions")
+    assert {r[0] for r in final.select("model_name").distinct().collect()} == {"trees_raw", "trees_calibrated", "prior", "momentum", "logistic"}
+    assert run.table("final_metrics").count() == 5 * 19 and S.revalidate(run) == []
+    assert json.loads(open(run.at("inference_manifest.json")).read())["calibration"] == report["facts"]["calibration"]
+    kept = spark.createDataFrame(run.table("tree_predictions").toPandas())
+    run.save(kept.withColumn("p_up", F.when(F.col("dataset_row_id") % 50 == 0, 0.99).otherwise(F.col("p_up"))), "tree_predictions")
+    found = S.revalidate(run)
+    assert "tree_predictions changed after the lock" in found and any("metric rows differ" in e for e in found)
+    run.save(kept, "tree_predictions")
+
+
+def test_a_changed_input_stops_the_final_test(spark, run, monkeypatch):
+    calls = []
+
+    def hashes():
+        calls.append(1)
+        return {"dataset": str(len(calls))}
+
+    monkeypatch.setattr(run, "input_hashes", hashes)
+    with pytest.raises(ValidationError) as e:
+        run.final(run.config.trees)
+    assert "changed after the lock" in str(e.value.errors)
 
 
 def test_audit(spark, run, tmp_path):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .ordered import DAY_MS, global_lag, running_sum
+from .ordered import DAY_MS, HOUR_MS, global_lag, runs
 
 
 @dataclass
@@ -33,7 +33,7 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return first.select(*keys, "_row.*").select(*df.columns)
 
 
-def clean_trades(raw: DataFrame, order: str = "_ord", width: int = DAY_MS) -> Cleaned:
+def clean_trades(raw: DataFrame, order: str = "_ord", width: int = HOUR_MS) -> Cleaned:
     """Last row of each id, then the rows with a time, a positive price and quantity and a readable maker flag.
 
     Adds quote_quantity, is_active_buy, is_active_sell, id_gap_before (missing ids since the row before in (time, id)
@@ -55,7 +55,7 @@ def clean_trades(raw: DataFrame, order: str = "_ord", width: int = DAY_MS) -> Cl
     return Cleaned(good, counts, {"same_time": same_time_groups(good)})
 
 
-def with_id_gaps(trades: DataFrame, width: int = DAY_MS) -> DataFrame:
+def with_id_gaps(trades: DataFrame, width: int = HOUR_MS) -> DataFrame:
     """Trades with previous id and time in (time, id) order, the missing ids and the milliseconds between."""
     out = global_lag(trades, "trade_time", ["agg_trade_id"], {"previous_id": "agg_trade_id", "previous_time": "trade_time"}, width)
     step = F.col("agg_trade_id") - F.col("previous_id")
@@ -113,11 +113,10 @@ def segments(bars: DataFrame, interval: int, width: int = DAY_MS) -> DataFrame:
 
     A bar whose distance to the one before is not the interval, longer or shorter, opens a segment; ids count from 0.
     """
-    out = global_lag(bars, "open_time", [], {"previous_open_time": "open_time"}, width)
+    out = runs(bars, "open_time", interval, width).withColumnsRenamed({"previous": "previous_open_time", "run": "continuity_segment_id"})
     delta = F.col("open_time") - F.col("previous_open_time")
-    out = out.withColumns({"delta": delta, "gap_before_bars": F.when(delta > interval, F.expr(f"(open_time - previous_open_time) div {interval} - 1")).otherwise(0).cast("long")})
-    opens = F.when(F.col("delta") != interval, 1).otherwise(0).cast("long")
-    return running_sum(out, "open_time", [], opens, "continuity_segment_id", width)
+    gap = F.when(delta > interval, F.expr(f"(open_time - previous_open_time) div {interval} - 1")).otherwise(0).cast("long")
+    return out.withColumns({"delta": delta, "gap_before_bars": gap})
 
 
 def gap_report(bars: DataFrame, interval: int) -> DataFrame:

@@ -2,13 +2,16 @@
 
 Segments are cut into blocks of positions with a halo of earlier rows (ordered.haloed), so that one long segment is
 dealt to many tasks. Windows count bars; a window is NULL until it is full. The exponential averages, the one recursive
-measure, are folded by pandas per block: the halo is long enough that its seed has no weight left in a double.
+measure, are folded in Python along each block: the halo is long enough that its seed has no weight left in a double.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import accumulate, islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,16 +42,36 @@ FEATURES = [
 
 
 def with_emas(blocks: DataFrame, keys: list[str], spans: tuple[int, ...] = EMA_SPANS) -> DataFrame:
-    """blocks with ema_<span> of close: e = a x + (1 - a) e', a = 2 / (span + 1), seeded with the block's first close."""
+    """blocks with ema_<span> of close: e = a x + (1 - a) e', a = 2 / (span + 1), seeded with the block's first close.
+
+    Whole blocks lie in order in their partitions, and only the last averages are carried from batch to batch, so that
+    neither the length of a block nor the number of short ones costs memory or calls.
+    """
     schema = StructType(list(blocks.schema.fields))
     for s in spans:
         schema.add(f"ema_{s}", "double")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("open_time")
-        return pdf.assign(**{f"ema_{s}": pdf["close"].ewm(span=s, adjust=False).mean() for s in spans})
-
-    return blocks.groupBy(*keys).applyInPandas(fold, schema)
+    names = [f"ema_{s}" for s in spans]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple | None = None
+        held: list[float] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            at = pdf[keys].to_numpy()
+            starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+            close = pdf["close"].to_numpy(dtype=np.float64).tolist()
+            out: list[list[float]] = [[] for _ in spans]
+            for low, high in zip(starts, starts[1:]):
+                same = tuple(at[low]) == last
+                for k, span in enumerate(spans):
+                    a = 2 / (span + 1)
+                    run = accumulate(close[low:high], lambda e, x, a=a: a * x + (1 - a) * e, initial=held[k] if same else None)
+                    out[k] += islice(run, 1, None) if same else run
+                last, held = tuple(at[low]), [x[-1] for x in out]
+            yield pdf.assign(**dict(zip(names, out, strict=True)))
+
+    return blocks.repartition(*keys).sortWithinPartitions(*keys, "open_time").mapInPandas(fold, schema)
 
 
 class Rolling:

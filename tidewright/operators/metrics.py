@@ -185,8 +185,11 @@ def prediction_faults(predictions: DataFrame, expected: DataFrame) -> DataFrame:
     """One row of counts that must all be 0: missing and foreign ids, repeated (model, id), probabilities out of range."""
     ids = expected.select("dataset_row_id").distinct()
     keyed = predictions.groupBy("model_name", "dataset_row_id").agg(F.count(F.lit(1)).alias("n"))
-    models = predictions.select("model_name").distinct()
-    missing = models.crossJoin(ids).join(keyed, ["model_name", "dataset_row_id"], "left_anti").agg(F.count(F.lit(1)).alias("missing_rows"))
+    # models are counted for each id, so that ids and models are never multiplied out
+    models = predictions.agg(F.count_distinct("model_name").alias("_models"))
+    have = keyed.groupBy("dataset_row_id").agg(F.count(F.lit(1)).alias("_have"))
+    gaps = ids.join(have, "dataset_row_id", "left").crossJoin(F.broadcast(models))
+    missing = gaps.agg(F.coalesce(F.sum(F.col("_models") - F.coalesce("_have", F.lit(0))), F.lit(0)).alias("missing_rows"))
     foreign = predictions.join(ids, "dataset_row_id", "left_anti").agg(F.count(F.lit(1)).alias("foreign_rows"))
     repeated = keyed.agg(F.count_if(F.col("n") > 1).alias("repeated_rows"))
     p = F.col("p_up")

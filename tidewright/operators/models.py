@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.ml import PipelineModel
@@ -195,13 +195,51 @@ class Calibrator:
         if self.method == "PLATT":
             return 1 / (1 + F.exp(-(X.logit(p, self.epsilon) * self.slope + self.shift)))
         if self.method == "ISOTONIC":
-            out = F.lit(self.values[-1])
-            for (a, u), (b, v) in reversed(list(zip(zip(self.boundaries, self.values), zip(self.boundaries[1:], self.values[1:])))):
-                between = F.lit(u) if a == b else u + (p - a) / (b - a) * (v - u)
-                out = F.when(p < b, between).otherwise(out)
-            return X.clip01(F.when(p <= self.boundaries[0], F.lit(self.values[0])).otherwise(out))
+            return F.when(p.isNotNull(), X.clip01(F.when(p < self.boundaries[0], F.lit(self.values[0])).otherwise(self._line(p))))
         return p
 
+    def _line(self, p: Column) -> Column:
+        """The value at p on the line through the knots, by bisection over their array: any number of knots is one expression."""
+        knots, values = (F.from_json(F.lit(json.dumps(x)), "array<double>") for x in (self.boundaries, self.values))
+        last = len(self.boundaries) - 1
+        low, high = F.lit(0), F.lit(last + 1)
+        turns = F.sequence(F.lit(1), F.lit(max(1, last.bit_length() + 1)))
+
+        def halved(s: Column, _: Column) -> Column:
+            middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+            right = (middle <= last) & (F.get(knots, middle) <= p)
+            return F.struct(F.when(right, middle).otherwise(s["low"]).alias("low"), F.when(right, s["high"]).otherwise(middle).alias("high"))
+
+        k = F.aggregate(turns, F.struct(low.alias("low"), high.alias("high")), halved, lambda s: s["low"])
+        a, b, u, v = F.get(knots, k), F.get(knots, k + 1), F.get(values, k), F.get(values, k + 1)
+        return F.when(b.isNull(), u).otherwise(u + (p - a) / (b - a) * (v - u))
+
+    def to_dict(self) -> dict[str, Any]:
+        return asdict(self)
+
+
+def save_calibrator(calibrator: Calibrator, path: str) -> str:
+    """Writes the calibrator as JSON; returns the SHA-256 of its canonical form."""
+    from ..sources.io import write_json
+
+    write_json(path, calibrator.to_dict())
+    return hashlib.sha256(canonical_json(calibrator.to_dict()).encode()).hexdigest()
+
+
+def load_calibrator(path: str) -> Calibrator:
+    from ..sources.io import read_json
+
+    return Calibrator(**read_json(path))
+
+
+def reload_difference(rows: DataFrame, trees: Trees, calibrator: Calibrator, trees_path: str, calibrator_path: str, most: int = 2048) -> float:
+    """The largest difference between the probabilities of a model and of what was read back from its files, over at most so many rows."""
+    sample = rows.orderBy("dataset_row_id").limit(most)
+    again, calibrated = load_trees(trees_path, trees.names), load_calibrator(calibrator_path)
+    a = trees.score(sample).select("dataset_row_id", calibrator.apply(F.col("p_up")).alias("a"))
+    b = again.score(sample).select("dataset_row_id", calibrated.apply(F.col("p_up")).alias("b"))
+    return a.join(b, "dataset_row_id").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] or 0.0
+
 
 def fit_calibrator(method: str, rows: DataFrame, epsilon: float = 1e-6, label: str = "y_true") -> Calibrator:
     if method == "UNCALIBRATED":

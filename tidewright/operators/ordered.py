@@ -6,10 +6,37 @@ from a table with one row per bucket, which alone is ordered as a whole.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_MS = 86_400_000
+HOUR_MS, DAY_MS = 3_600_000, 86_400_000
+
+
+def even_width(df: DataFrame, key: str) -> int:
+    """A bucket width such that the key's range has about as many buckets as a bucket has rows, from one narrow pass."""
+    low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    return max(1, math.ceil((high - low + 1) / math.sqrt(n))) if n else 1
+
+
+def runs(df: DataFrame, key: str, step: int, width: int = DAY_MS) -> DataFrame:
+    """df with previous (the key of the row before, NULL in the first) and run, which counts the distances other than step.
+
+    Both come from one pass over the buckets of the key: a bucket tells its ends and the runs that begin inside it.
+    """
+    inside = Window.partitionBy("_bucket").orderBy(key)
+    cut = df.withColumn("_bucket", F.floor(F.col(key) / width)).withColumn("_last", F.lag(key).over(inside))
+    opens = F.coalesce(F.col(key) - F.col("_last") != step, F.lit(False)).cast("long")
+    cut = cut.withColumn("_opens", F.sum(opens).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = cut.groupBy("_bucket").agg(F.min(key).alias("_low"), F.max(key).alias("_high"), F.max("_opens").alias("_sum"))
+    order = Window.orderBy("_bucket")
+    ends = ends.withColumn("_before", F.lag("_high").over(order))
+    ends = ends.withColumn("_here", F.coalesce(F.col("_low") - F.col("_before") != step, F.lit(False)).cast("long"))
+    ends = ends.withColumn("_base", F.sum(F.col("_here") + F.col("_sum")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum"))
+    out = cut.join(ends.select("_bucket", "_before", "_base"), "_bucket", "left")
+    out = out.withColumns({"previous": F.coalesce("_last", "_before"), "run": F.col("_base") + F.col("_opens")})
+    return out.drop("_bucket", "_last", "_opens", "_before", "_base")
 
 
 def global_lag(df: DataFrame, key: str, tie: list[str], values: dict[str, str], width: int = DAY_MS) -> DataFrame:

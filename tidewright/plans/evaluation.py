@@ -281,7 +281,11 @@ def e12(spark, sf):
     return M.metrics(E.forward_calibrated(rows), ["method", "calibration_fold"]).select("method", "calibration_fold", "sample_count", "log_loss", "brier")
 
 
-@query("e13_frozen_candidates")
+FROZEN = """c AS (SELECT 'candidate_' || k AS name, 3 + k % 3 AS max_depth, CASE WHEN k < 3 THEN 0.1 ELSE 0.05 END AS step_size, k FROM range(6) t(k)),
+d AS (SELECT sha256('[' || string_agg('{"max_depth":' || max_depth || ',"name":"' || name || '","step_size":' || CAST(CAST(step_size AS DOUBLE) AS VARCHAR) || '}', ',' ORDER BY k) || ']') AS definitions_sha256 FROM c)"""
+
+
+@query("e13_frozen_candidates", chain(FROZEN, then="SELECT name, CAST(max_depth AS INTEGER) AS max_depth, CAST(step_size AS DOUBLE) AS step_size, definitions_sha256 FROM c, d"))
 def e13(spark, sf):
     candidates = [{"name": f"candidate_{k}", "max_depth": 3 + k % 3, "step_size": 0.1 / (1 + k // 3)} for k in range(6)]
     kept, digest = E.frozen(candidates)

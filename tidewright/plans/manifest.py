@@ -74,6 +74,14 @@ def model_manifest(name: str, parameters: dict[str, Any], names: list[str], metr
     }
 
 
+def inference_manifest(names: list[str], model: str, calibrator: str, method: str, threshold: float, lock: str) -> dict:
+    """What a scorer needs: inputs in order, files, and how a probability becomes a class."""
+    return {
+        "features": feature_manifest(names), "feature_type": "float", "model_path": model, "calibrator_path": calibrator, "calibration": method,
+        "prediction_threshold": threshold, "class_rule": "1 if the calibrated probability is at least the threshold", "protocol_lock": lock,
+    }
+
+
 class Telemetry:
     """Wall time of the steps and the largest memory of this process."""
 

@@ -14,6 +14,7 @@ from ..operators import labels as L
 from ..operators import ordered
 from ..operators import profile as P
 from ..sources import adapt as A
+from ..sources.scratch import stored
 from .registry import chain, query
 
 QUARTER, HOUR = 900_000, 3_600_000
@@ -192,7 +193,8 @@ def w07(spark, sf):
 
 @query("w08_order_violations", chain(TRADES, then="SELECT count_if(q < 0) AS violations FROM (SELECT quantity - lag(quantity) OVER (ORDER BY agg_trade_id) AS q FROM trades)"))
 def w08(spark, sf):
-    return C.order_violations(A.trades(spark, sf), "quantity", "agg_trade_id", 1000)
+    trades = A.plain_trades(spark, sf)
+    return C.order_violations(trades, "quantity", "agg_trade_id", ordered.even_width(trades, "agg_trade_id"))
 
 
 @query("w09_long_quiet", chain(TRADES, GAPPED, then="SELECT count_if(time_gap_before > 600000) AS intervals, max(time_gap_before) AS longest FROM gapped"))
@@ -364,7 +366,7 @@ SHIFTED = f"""shifted AS (
 
 
 def overlap(spark, sf):
-    agg = B.boundary_flags(B.aggregate_trades(A.trades(spark, sf), QUARTER, quantiles=False))
+    agg = A.trade_bars(spark, sf, QUARTER)
     other = B.as_bars(agg).where(F.col("open_time") % (13 * QUARTER) != 0)
     other = other.withColumn("volume", F.col("volume") * (1 + F.expr(f"(open_time div {QUARTER}) % 5") / 1000.0))
     return B.reconcile(agg, other, volume_limits=(0.0015, 0.0035), rule={"need_first_5s": False})
@@ -493,7 +495,7 @@ def a40(spark, sf):
 
 
 def proxy(spark, sf):
-    agg = B.boundary_flags(B.aggregate_trades(A.trades(spark, sf), QUARTER, first=(60, 120, 300, 600), last=(300,), quantiles=False))
+    agg = B.boundary_flags(stored(B.aggregate_trades(A.trades(spark, sf), QUARTER, first=(60, 120, 300, 600), last=(300,), quantiles=False), "trade_bars"))
     agg = agg.withColumnsRenamed({f"vwap_first_{a}s": f"vwap_first_{b}s" for a, b in ((60, 1), (120, 2), (300, 5), (600, 10))})
     minutes = agg.withColumnRenamed("first_trade_price", "kline_open").withColumnRenamed("base_volume", "agg_base_volume").withColumn("is_reliable_overlap_minute", ~F.col("is_boundary_partial_minute"))
     return L.label_proxy(L.prediction_rows(bars15(spark, sf)), minutes, HORIZON15)
@@ -723,8 +725,8 @@ DAY = 86_400_000
 TEST_DAY = 24
 
 
-def _simple_features(spark, sf):
-    b = bars15(spark, sf).where("is_prediction_time_5m")
+def _simple_features(bars):
+    b = bars.where("is_prediction_time_5m")
     x = F.try_divide(F.col("close") - F.col("open"), F.col("high") - F.col("low"))
     b = b.withColumn("body", x).withColumn("feature_missing_count", F.col("body").isNull().cast("int"))
     return b.select(
@@ -734,8 +736,9 @@ def _simple_features(spark, sf):
 
 
 def _audit(spark, sf):
-    y = labels15(spark, sf).withColumn("is_final_model_label_candidate", F.col("is_valid_proxy_label") & F.col("has_history_5m"))
-    f = _simple_features(spark, sf).where(F.col("decision_time") % (7 * 5 * QUARTER) != 0)
+    bars = bars15(spark, sf)
+    y = L.full_labels(bars, HORIZON15).withColumn("is_final_model_label_candidate", F.col("is_valid_proxy_label") & F.col("has_history_5m"))
+    f = _simple_features(bars).where(F.col("decision_time") % (7 * 5 * QUARTER) != 0)
     return D.join_audit(f, y, ["body"], QUARTER, HORIZON15), f
 
 
@@ -767,7 +770,7 @@ SPLIT = (
 
 def _split(spark, sf):
     audit, f = _audit(spark, sf)
-    data = D.dataset(audit, f, ["body"])
+    data = stored(D.dataset(audit, f, ["body"]), "dataset")
     start = A.table(spark, sf, "events").agg(F.min("ts").cast("date").cast("string")).first()[0]
     import datetime
 

@@ -5,6 +5,7 @@ Every stage is restartable: it reads what earlier stages wrote below the run's f
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import models as E
 from ..operators import profile as P
+from ..operators import selection as SE
 from ..schema import ValidationError
 from ..sources import io as IO
 from . import manifest as MF
@@ -111,7 +113,7 @@ class Run:
         K.require(agg, K.aggregate_suite(), "trade bars")
         plain = self.table("bars").select("open_time", "open", "high", "low", "close", "volume", "quote_volume", "number_of_trades", "taker_buy_base_volume", "taker_buy_quote_volume")
         o = self.save(B.reconcile(agg, plain), "overlap")
-        self.report("stage2b", {}, {"status": P.frequencies(o, "join_status"), "gaps": B.bucketed_gaps(agg, F.col("internal_missing_agg_trade_id_count"), F.col("price_range_ratio")), "largest errors": o.orderBy(F.desc("max_abs_price_error_bps"), "open_time").limit(100)})
+        self.report("stage2b", {}, {"status": P.frequencies(o, "join_status"), "gaps": B.bucketed_gaps(o.join(agg.select("open_time", "internal_missing_agg_trade_id_count"), "open_time"), F.col("internal_missing_agg_trade_id_count"), F.col("base_volume_relative_error")), "largest errors": o.orderBy(F.desc("max_abs_price_error_bps"), "open_time").limit(100)})
 
     def labels(self) -> None:
         """Stages 3A and 3B: the proxy's validation on the overlap, and labels of the whole history."""
@@ -175,16 +177,17 @@ class Run:
         return fit.score(validation, params.name).withColumn("fold_name", F.lit(fold.name))
 
     def tune(self, candidates: list[E.TreeParams]) -> DataFrame:
-        """Stage 8: every frozen candidate on every fold; the ranked summary."""
+        """Stage 8: every frozen candidate on every fold; the ranked summary, and the gains over the logistic baseline and the fixed trees."""
         _, digest = E.frozen([asdict(c) for c in candidates])
         self._evaluate("stage8", "candidate_predictions", [self._fit_trees(f, c) for c in candidates for f in self.config.folds])
-        m = M.metrics(self.table("candidate_predictions"), ["model_name", "fold_name"])
-        pooled = m.groupBy("model_name").agg(
-            F.avg("roc_auc").alias("roc_auc"), F.avg("roc_auc").alias("nonoverlap_auc"), F.min("roc_auc").alias("worst_fold_auc"), (F.max("roc_auc") - F.min("roc_auc")).alias("offset_auc_range"),
-            F.stddev_samp("roc_auc").alias("fold_auc_std"), F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier"),
-        )
-        size = F.create_map(*[x for c in candidates for x in (F.lit(c.name), F.lit(c.max_depth * c.rounds))])
-        ranked = self.save(G.rank_candidates(pooled.withColumn("complexity", size[F.col("model_name")])), "candidate_ranking")
+        rows = self.table("candidate_predictions")
+        ranked = self.save(G.rank_candidates(SE.candidate_keys(rows, {c.name: c.max_depth * c.rounds for c in candidates})), "candidate_ranking")
+        columns = ["model_name", "fold_name", "y_true", "p_up", "y_pred", "abs_future_return_bps_60m", "evaluation_offset_minutes", "is_primary_nonoverlap_evaluation"]
+        for name, reference in (("baseline_predictions", "logistic"), ("tree_predictions", self.config.trees.name)):
+            base = self.table(name).where(F.col("model_name") == reference).withColumn("model_name", F.lit(f"reference:{reference}"))
+            gains = SE.gains_over(rows.select(*columns).unionByName(base.select(*columns)), f"reference:{reference}")
+            gains = gains.withColumns({"auc_gain": F.col("delta_roc_auc"), "gates_passed": F.lit(True)})
+            self.save(G.recommendation(G.material_gain(gains, 0.002, 0.0005, 3), 0.002, 3), f"candidate_gains_{reference}")
         IO.write_json(self.at("candidates.json"), {"sha256": digest, "candidates": [asdict(c) for c in candidates]})
         return ranked
 
@@ -198,51 +201,117 @@ class Run:
         self.report(stage, {}, {"metrics": table.where("subset_name = 'DENSE'"), "calibration": M.calibration_table(M.with_bins(rows, 10), ("model_name",))})
 
     def final(self, params: E.TreeParams, methods: tuple[str, ...] = ("UNCALIBRATED", "PLATT", "ISOTONIC")) -> dict:
-        """Stage 9: calibration chosen on out-of-fold rows, one fit on the development rows, one reading of the test."""
-        guard, names = G.OneShotTest(), self.config.features
+        """Stage 9: calibration chosen on out-of-fold rows, one fit on the development rows, one reading of the test.
+
+        The test rows are scored by the model, with and without calibration, and by the three baselines, all fitted on the
+        development rows. Inputs are hashed when the protocol is locked and again before the test is read.
+        """
+        guard, names, signal = G.OneShotTest(), self.config.features, "log_return_60m" if "log_return_60m" in self.config.features else self.config.features[0]
         oof = self.table("tree_predictions")
-        forward = E.forward_calibrated(oof, methods)
-        m = M.metrics(forward, ["method"]).select("method", "log_loss", "brier", F.lit(0.0).alias("ece"), F.length("method").alias("complexity"))
-        by_year = M.metrics(forward, ["method", "calibration_fold"]).select("method", "calibration_fold", "log_loss")
-        raw = by_year.where("method = 'UNCALIBRATED'").select("calibration_fold", F.col("log_loss").alias("raw"))
-        wins = by_year.join(raw, "calibration_fold").groupBy("method").agg(F.count_if(F.col("log_loss") < F.col("raw")).alias("winning_years"))
-        chosen = next(r["method"] for r in G.select_calibration(m, wins).collect() if r["selected"])
+        calibrations = self.save(SE.calibration_metrics(E.forward_calibrated(oof, methods)), "calibration_metrics")
+        choice = self.save(SE.choose_calibration(calibrations, years=min(3, max(1, len(self.config.folds) - 1))), "calibration_choice")
+        chosen = choice.where("selected").first()["method"]
         guard.done("calibration_selected")
         guard.done("configuration_frozen")
         rows = D.joined(self.table("dataset"), self.table("splits")).withColumn("y_true", F.col("label_up_60m").cast("int"))
         development = rows.where("final_split_role = 'DEVELOPMENT'")
         inner = D.inner_split(development, self.config.test_start, self.config.early_stop_window)
         fit = E.fit_trees(inner.where("inner_role = 'INNER_TRAIN'"), inner.where("inner_role = 'EARLY_STOP'"), development, names, params, self.config.patience)
-        calibrator = E.fit_calibrator(chosen, oof)
+        calibrator, logistic = E.fit_calibrator(chosen, oof), E.fit_logistic(development, names)
         guard.done("final_model_fitted")
         E.save_model(fit.model, self.at("models/trees"))
+        digest = E.save_calibrator(calibrator, self.at("models/calibrator.json"))
+        difference = E.reload_difference(development, fit, calibrator, self.at("models/trees"), self.at("models/calibrator.json"))
+        if difference > 1e-12:
+            raise ValidationError([f"the model read back differs by {difference}"])
         guard.done("model_saved")
-        hashes = {"dataset": IO.text_sha256(str(IO.read_json(self.at("dataset_manifest.json"))))}
-        lock = guard.lock_with(E.canonical_json(asdict(params)) + chosen, hashes)
-        test = guard.read_test(rows.where("final_split_role = 'FINAL_TEST'"), hashes)
-        scored = fit.score(test).withColumn("p_up", calibrator.apply(F.col("p_up")))
-        scored = self.save(scored.withColumn("y_pred", (F.col("p_up") >= E.THRESHOLD).cast("int")).select("model_name", "dataset_row_id", "decision_time", "y_true", "p_up", "y_pred"), "final_predictions")
-        result = M.metrics(scored, ["model_name"]).first().asDict()
+        lock = guard.lock_with(E.canonical_json(asdict(params)) + chosen + digest, self.input_hashes())
+        test = guard.read_test(rows.where("final_split_role = 'FINAL_TEST'"), self.input_hashes())
+        raw = fit.score(test, "trees_raw")
+        parts = [
+            raw, E.scored(raw.drop("model_name", "y_pred").withColumnRenamed("p_up", "_raw"), calibrator.apply(F.col("_raw")), "trees_calibrated"),
+            E.prior_baseline(development, test), E.momentum_baseline(development, test, signal), E.scored(test, logistic.probability(), "logistic"),
+        ]
+        columns = ["model_name", "dataset_row_id", "decision_time", "y_true", "p_up", "y_pred", "abs_future_return_bps_60m", "evaluation_offset_minutes", "is_primary_nonoverlap_evaluation"]
+        long = parts[0].select(*columns)
+        for p in parts[1:]:
+            long = long.unionByName(p.select(*columns))
+        scored = self.save(long, "final_predictions")
+        table = self.save(M.subset_metrics(scored, ("model_name",)), "final_metrics")
+        faults = M.prediction_faults(scored, self.table("splits").where("final_split_role = 'FINAL_TEST'")).first().asDict()
+        gates = G.engineering_gates({"test_rows_complete": faults["missing_rows"] + faults["foreign_rows"] + faults["repeated_rows"] == 0, "probabilities_valid": faults["bad_probabilities"] == 0, "model_reloads": difference <= 1e-12})
+        drift = SE.against_development(table, M.subset_metrics(oof, ("model_name",)), "trees_calibrated", self.config.trees.name)
+        assessment = SE.assess_test(table, "trees_calibrated", "logistic", "prior", gates["all_passed"]).first()["assessment"]
+        result = table.where("model_name = 'trees_calibrated' AND subset_name = 'DENSE'").drop("subset_name").first().asDict()
         guard.done("evaluated")
-        IO.write_json(self.at("model_manifest.json"), MF.model_manifest("trees", asdict(params) | {"trees": fit.rounds, "calibration": chosen}, names, result, hashes) | {"lock": lock})
-        self.report("stage9", {"metrics": result, "calibration": chosen}, {"importance": IO.markdown_table([{"feature": f, "gain": g, "rank": r} for f, g, r in fit.importances()])})
+        facts = {"metrics": result, "calibration": chosen, "assessment": assessment, "gates": gates}
+        IO.write_json(self.at("model_manifest.json"), MF.model_manifest("trees", asdict(params) | {"trees": fit.rounds, "calibration": chosen}, names, result, guard.hashes) | {"lock": lock, "calibrator_sha256": digest, "assessment": assessment})
+        IO.write_json(self.at("inference_manifest.json"), MF.inference_manifest(names, "models/trees", "models/calibrator.json", calibrator.method, E.THRESHOLD, lock))
+        IO.write_json(self.at("one_shot.json"), {"steps": guard.steps, "lock": lock, "hashes": guard.hashes})
+        importance = IO.markdown_table([{"feature": f, "gain": g, "rank": r} for f, g, r in fit.importances()])
+        self.report("stage9", facts, {"importance": importance, "calibration": choice, "test against development": drift, "test": table.where("subset_name IN ('DENSE', 'NONOVERLAP_OFFSET_00')")})
         return result
 
+    def input_hashes(self) -> dict[str, str]:
+        """Digests of what the final test depends on, computed anew from the tables themselves: order-free sums of row hashes."""
+        out = {}
+        for name in ("dataset", "splits", "tree_predictions"):
+            t = self.table(name)
+            row = t.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*t.columns).cast("decimal(38,0)"))).first()
+            out[name] = IO.text_sha256(f"{row[0]}:{row[1]}:{t.schema.simpleString()}")
+        return out
+
+
+def metric_differences(again: DataFrame, stored: DataFrame, keys: list[str], names: list[str], tolerance: float = 1e-12) -> int:
+    """Rows on one side only, or with a metric that is missing on one side or differs by more than the tolerance."""
+    a = again.select(*keys, *[F.col(n).alias(f"_{n}") for n in names], F.lit(True).alias("_a"))
+    j = a.join(stored.select(*keys, *names, F.lit(True).alias("_b")), keys, "full_outer")
+    off = F.col("_a").isNull() | F.col("_b").isNull()
+    for n in names:
+        x, y = F.col(f"_{n}"), F.col(n)
+        off = off | (x.isNull() != y.isNull()) | F.coalesce(F.abs(x - y) > tolerance, F.lit(False))
+    return j.where(off).count()
+
 
 def revalidate(run: Run) -> list[str]:
-    """Checks a finished run from its outputs: prediction contracts, recomputed metrics, manifests. Returns what fails."""
+    """Checks a finished run from its outputs: prediction contracts, all metrics recomputed, selections replayed, manifests. Returns what fails."""
     errors = []
     split = run.table("splits")
+    keys = ["model_name", "fold_name", "subset_name"]
+    test_ids = split.where("final_split_role = 'FINAL_TEST'").select("dataset_row_id")
     for name in ("baseline_predictions", "tree_predictions"):
         rows = run.table(name)
         for fold in run.config.folds:
             expected = split.where(F.col(f"{fold.name}_role") == "VALIDATION")
             faults = M.prediction_faults(rows.where(F.col("fold_name") == fold.name), expected).first().asDict()
             errors += [f"{name} {fold.name}: {k} {v}" for k, v in faults.items() if v]
-        again, stored = M.subset_metrics(rows), run.table(f"{name}_metrics")
-        j = again.alias("a").join(stored.alias("b"), ["model_name", "fold_name", "subset_name"], "full_outer")
-        off = j.where(~F.col("a.roc_auc").eqNullSafe(F.col("b.roc_auc")) & (F.abs(F.col("a.roc_auc") - F.col("b.roc_auc")) > 1e-12)).count()
-        errors += [f"{name}: {off} metric rows differ"] if off else []
+        if leaked := rows.join(test_ids, "dataset_row_id", "left_semi").count():
+            errors.append(f"{name}: {leaked} rows of the final test")
+        if off := rows.where((F.col("y_pred") != (F.col("p_up") >= E.THRESHOLD).cast("int")) & (F.col("model_name") != "momentum")).count():
+            errors.append(f"{name}: {off} classes disagree with the threshold")
+        if off := metric_differences(M.subset_metrics(rows), run.table(f"{name}_metrics"), keys, M.METRICS):
+            errors.append(f"{name}: {off} metric rows differ")
+    if IO.path_exists(run.spark, run.at("candidate_ranking")):
+        definitions = IO.read_json(run.at("candidates.json"))
+        if E.frozen(definitions["candidates"])[1] != definitions["sha256"]:
+            errors.append("the candidates do not match their digest")
+        sizes = {c["name"]: c["max_depth"] * c["rounds"] for c in definitions["candidates"]}
+        again = G.rank_candidates(SE.candidate_keys(run.table("candidate_predictions"), sizes))
+        if off := metric_differences(again, run.table("candidate_ranking"), ["model_name"], ["rank", "roc_auc", "nonoverlap_auc", "offset_auc_range", "log_loss"]):
+            errors.append(f"candidate ranking: {off} rows differ")
+    if IO.path_exists(run.spark, run.at("final_predictions")):
+        again = M.subset_metrics(run.table("final_predictions"), ("model_name",))
+        if off := metric_differences(again, run.table("final_metrics"), ["model_name", "subset_name"], M.METRICS):
+            errors.append(f"final metrics: {off} rows differ")
+        choice = SE.choose_calibration(run.table("calibration_metrics"), years=min(3, max(1, len(run.config.folds) - 1))).where("selected").first()["method"]
+        manifest = IO.read_json(run.at("model_manifest.json"))
+        if choice != manifest["parameters"]["calibration"]:
+            errors.append("the calibration does not follow from its metrics")
+        calibrator = E.load_calibrator(run.at("models/calibrator.json"))
+        if hashlib.sha256(E.canonical_json(calibrator.to_dict()).encode()).hexdigest() != manifest["calibrator_sha256"]:
+            errors.append("the calibrator does not match its digest")
+        changed = [k for k, v in run.input_hashes().items() if IO.read_json(run.at("one_shot.json"))["hashes"].get(k) != v]
+        errors += [f"{k} changed after the lock" for k in changed]
     try:
         MF.check_manifest(IO.read_json(run.at("feature_manifest.json")), run.table("features").columns)
     except ValidationError as e:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..operators import clean as C
+from .scratch import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,21 +24,27 @@ def raw_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean trades; the supplied ids are unique, so nothing is deduplicated."""
+def plain_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with their quote quantity and sides; the supplied ids are unique, so nothing is deduplicated."""
     t = raw_trades(spark, sf_dir).withColumn("is_buyer_maker", F.col("is_buyer_maker") == "true")
-    t = t.withColumns({"quote_quantity": F.col("price") * F.col("quantity"), "is_active_buy": ~F.col("is_buyer_maker"), "is_active_sell": F.col("is_buyer_maker")})
-    return C.with_id_gaps(t)
+    return t.withColumns({"quote_quantity": F.col("price") * F.col("quantity"), "is_active_buy": ~F.col("is_buyer_maker"), "is_active_sell": F.col("is_buyer_maker")})
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean trades, with their gaps of id and time."""
+    return C.with_id_gaps(plain_trades(spark, sf_dir))
 
 
 def trade_bars(spark: SparkSession, sf_dir: str, interval: int, quantiles: bool = False) -> DataFrame:
-    return B.boundary_flags(B.aggregate_trades(trades(spark, sf_dir), interval, quantiles=quantiles))
+    """Trade bars, written once, with the flags of the first and the last."""
+    return B.boundary_flags(stored(B.aggregate_trades(trades(spark, sf_dir), interval, quantiles=quantiles), "trade_bars"))
 
 
 def bars(spark: SparkSession, sf_dir: str, interval: int) -> DataFrame:
-    """Bars with segments and positions."""
-    plain = B.as_bars(B.aggregate_trades(trades(spark, sf_dir), interval, quantiles=False))
-    return C.with_positions(C.segments(plain, interval), interval)
+    """Bars with segments and positions, written once: one pass over the trades, however often the bars are read."""
+    t = plain_trades(spark, sf_dir).withColumns({"previous_id": F.lit(None).cast("long"), "previous_time": F.lit(None).cast("long"), "id_gap_before": F.lit(0)})
+    plain = stored(B.as_bars(B.aggregate_trades(t, interval, quantiles=False)), "plain_bars")
+    return stored(C.with_positions(C.segments(plain, interval), interval), "bars")
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

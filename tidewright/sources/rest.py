@@ -7,6 +7,7 @@ cursor as offset, so that a query resumes where its last batch ended.
 
 from __future__ import annotations
 
+import datetime
 import json
 import time
 import urllib.error
@@ -64,12 +65,23 @@ KINDS = {
 }
 
 
-def pages(fetch: Callable[[dict], list], kind: str, start: int, end: int, step: int, params: dict | None = None) -> Iterator[tuple]:
+#: Metrics of the futures market by period: kind -> path. Their columns are those of the first page, all text but the timestamp.
+METRICS = {
+    "open_interest": "/futures/data/openInterestHist",
+    "taker_volume": "/futures/data/takerlongshortRatio",
+    "account_ratio": "/futures/data/globalLongShortAccountRatio",
+    "top_account_ratio": "/futures/data/topLongShortAccountRatio",
+    "top_position_ratio": "/futures/data/topLongShortPositionRatio",
+}
+METRIC_PAGE = 500
+
+
+def pages(fetch: Callable[[dict], list], kind: str, start: int, end: int, step: int, params: dict | None = None, shape: tuple | None = None) -> Iterator[tuple]:
     """Rows with start <= time < end, page by page; after a page the cursor stands behind its last row.
 
     An empty page of bars skips its span, as a gap in trading leaves none; for other kinds it ends the read.
     """
-    make, at, _, size = KINDS[kind]
+    make, at, _, size = shape or KINDS[kind]
     cursor = start
     while cursor < end:
         page = fetch({**(params or {}), "startTime": cursor, "endTime": end - 1, "limit": size})
@@ -94,6 +106,24 @@ def metric_rows(page: list[dict], columns: list[str]) -> Iterator[tuple]:
         yield tuple(None if row.get(c) is None else str(row[c]) for c in columns)
 
 
+def metric_shape(columns: list[str], symbol: str | None) -> tuple:
+    """The entry of KINDS for metric rows of these columns: symbol, timestamp, timestamp_utc, then the others by name."""
+    place = columns.index("timestamp")
+
+    def make(row: dict) -> tuple:
+        at = int(row["timestamp"])
+        utc = datetime.datetime.fromtimestamp(at / 1000, datetime.timezone.utc).isoformat(timespec="milliseconds")
+        whole = {**row, "symbol": row.get("symbol", symbol), "timestamp_utc": utc}
+        return tuple(at if c == "timestamp" else None if whole.get(c) is None else str(whole[c]) for c in columns)
+
+    return make, lambda r: r[place], ", ".join(f"`{c}` {'long' if c == 'timestamp' else 'string'}" for c in columns), METRIC_PAGE
+
+
+def metric_columns(page: list[dict]) -> list[str]:
+    first = ["symbol", "timestamp", "timestamp_utc"]
+    return first + sorted({k for row in page for k in row} - set(first))
+
+
 def book_row(snapshot: dict, at: int, levels: int) -> tuple:
     """A snapshot as (time, last_update_id, bid prices and sizes, ask prices and sizes) of the best levels."""
     out: list = [at, int(snapshot["lastUpdateId"])]
@@ -116,13 +146,21 @@ class Span(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    def __init__(self, options: dict, fetch: Callable | None = None):
+    def __init__(self, options: dict, fetch: Callable | None = None, columns: list[str] | None = None):
         self.options = options
         self.kind, self.url = options["kind"], options.get("url", "")
         self.start, self.end = int(options["start"]), int(options["end"])
         self.step, self.parts = int(options.get("step", 1)), int(options.get("partitions", 1))
+        self.columns = columns
         self._fetch = fetch
 
+    def asked(self) -> dict:
+        """The parameters of every request beside the cursor."""
+        return {k: self.options[k] for k in ("symbol", "interval", "period") if k in self.options}
+
+    def shape(self) -> tuple:
+        return metric_shape(self.columns or metric_columns([]), self.options.get("symbol")) if self.kind in METRICS else KINDS[self.kind]
+
     def partitions(self) -> list[Span]:
         width = -(-(self.end - self.start) // self.parts)
         width = max(self.step, -(-width // self.step) * self.step)
@@ -134,50 +172,67 @@ class PagedReader(DataSourceReader):
         if recorded := self.options.get("recorded"):
             with open(recorded, encoding="utf-8") as f:
                 rows = json.load(f)
-            at = (lambda x: x[0]) if self.kind == "bars" else (lambda x: x["T"]) if self.kind == "trades" else (lambda x: x["fundingTime"])
+            name = {"trades": "T", "funding": "fundingTime"}.get(self.kind, "timestamp")
+            at = (lambda x: x[0]) if self.kind == "bars" else (lambda x: int(x[name]))
             return [x for x in rows if params["startTime"] <= at(x) <= params["endTime"]][: params["limit"]]
-        return request_json(self.url, params)
+        return request_json(self.url + METRICS.get(self.kind, ""), params)
 
     def read(self, partition: Span) -> Iterator[tuple]:
-        extra = {"symbol": self.options["symbol"]} if "symbol" in self.options else {}
-        return pages(self.fetch, self.kind, partition.start, partition.end, self.step, extra)
+        return pages(self.fetch, self.kind, partition.start, partition.end, self.step, self.asked(), self.shape())
 
 
 class PagedStream(SimpleDataSourceStreamReader):
-    """The cursor is the offset; a batch is a page."""
+    """The cursor is the offset; a batch is a page.
 
-    def __init__(self, options: dict):
-        self.reader = PagedReader(options)
+    An empty page of bars whose whole span has passed is a gap in trading, and the cursor goes behind it; otherwise the
+    cursor waits.
+    """
+
+    def __init__(self, options: dict, fetch: Callable | None = None, now: Callable[[], float] = time.time, columns: list[str] | None = None):
+        self.reader = PagedReader(options, fetch, columns)
+        self.now = now
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"cursor": self.reader.start}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        r = self.reader
-        make, at, _, size = KINDS[r.kind]
-        page = r.fetch({"startTime": start["cursor"], "endTime": r.end - 1, "limit": size})
-        rows = [make(x) for x in page]
-        return iter(rows), {"cursor": max(map(at, rows)) + r.step if rows else start["cursor"]}
+        r, cursor = self.reader, start["cursor"]
+        make, at, _, size = r.shape()
+        if cursor >= r.end:
+            return iter([]), start
+        page = r.fetch({**r.asked(), "startTime": cursor, "endTime": r.end - 1, "limit": size})
+        rows = [x for x in map(make, page) if cursor <= at(x) < r.end]
+        if rows:
+            return iter(rows), {"cursor": max(map(at, rows)) + r.step}
+        behind = cursor + r.step * size
+        passed = r.kind == "bars" and behind <= self.now() * 1000
+        return iter([]), {"cursor": min(behind, r.end) if passed else cursor}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return pages(self.reader.fetch, self.reader.kind, start["cursor"], end["cursor"], self.reader.step)
+        r = self.reader
+        return pages(r.fetch, r.kind, start["cursor"], end["cursor"], r.step, r.asked(), r.shape())
 
 
 class PagedSource(DataSource):
-    """spark.read.format("paged_rest").option("kind", "bars" | "trades" | "funding").option("start", ms)…"""
+    """spark.read.format("paged_rest").option("kind", "bars" | "trades" | "funding" | a kind of METRICS).option("start", ms)…"""
 
     @classmethod
     def name(cls) -> str:
         return "paged_rest"
 
     def schema(self) -> str:
-        return KINDS[self.options["kind"]][2]
+        kind = self.options["kind"]
+        if kind not in METRICS:
+            return KINDS[kind][2]
+        asking = PagedReader(dict(self.options))
+        page = asking.fetch({**asking.asked(), "startTime": asking.start, "endTime": asking.end - 1, "limit": METRIC_PAGE})
+        return metric_shape(metric_columns(page), None)[2]
 
     def reader(self, schema) -> PagedReader:
-        return PagedReader(dict(self.options))
+        return PagedReader(dict(self.options), columns=schema.fieldNames())
 
     def simpleStreamReader(self, schema) -> PagedStream:  # noqa: N802
-        return PagedStream(dict(self.options))
+        return PagedStream(dict(self.options), columns=schema.fieldNames())
 
 
 class BookStream(SimpleDataSourceStreamReader):
