@@ -14,29 +14,50 @@ from tidewright.llm.common import Scratch, spread, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. It learns from the labelled rows of docs that are not held out."""
+    """Documents that the classifier does not reject. It learns from the labelled rows of docs that are not held out.
+
+    Null and empty texts score the share of good labels, so that they stay where most labelled rows are good; without labels
+    of both classes every document has that one score. Repeated rows are judged alike, a score at the threshold stays, long
+    texts are scored whole, an empty table stays empty, and further columns of docs are kept, whatever their names.
+    """
     rows = spread(docs)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(rows, model).where("predicted = 1").select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the largest id of each group of equal texts."""
+    """The document with the largest id of each group of equal texts, which are compared whole.
+
+    Null counts as the empty text; a row with a null id stays only where its group has no other; rows that repeat a kept id
+    and text stay together. Further columns of docs are kept, and an empty table stays empty.
+    """
     return exact_dedup.exact_duplicates(docs, keep="largest").where("kept").select(*docs.columns)
 
 
 def simhash_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates."""
+    """The document with the smallest id of each component of texts whose sets of five-word shingles are alike by 0.8 or more.
+
+    Texts without a word, null ones too, are alike; shorter texts are one shingle. Rows with a null id stay, rows that repeat a
+    kept id stay with it. Further columns of docs are kept, and an empty table stays empty.
+    """
     return simhash_dedup.one_of_each(docs, words=5, similarity=0.8)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every draw of a document, in the order of the output shards."""
+    """A row for every draw of a document, in the order of the output shards.
+
+    A null source is a source of its own; null and empty texts have size 0 and are drawn as their place in the permutation has
+    it; rows equal in id and size are drawn together. Further columns of docs are kept, and an empty table stays empty.
+    """
     return mixing.mixed_rows(docs).select(*docs.columns)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document instead of its text, with digests of the ids and of what they decode to."""
+    """The ids of every document instead of its text, with digests of the ids and of what they decode to.
+
+    A null text has no ids. Rows are coded alone, repeated ones too, and long texts whole; columns of the added names are
+    replaced, all others stay, and an empty table stays empty.
+    """
     return byte_bpe.coded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
