@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, shared_root  # noqa: F401
+
 #: White space of the word contracts: space and the ASCII controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,46 +37,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one that spark.checkpoint.dir names, or the context's checkpoint folder. Where neither exists a
-    temporary folder is made and set in local mode, as in tests; on a cluster, whose machines would not share it, that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        there = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = there.get() if there.isDefined() else None
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tidewright-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-class Scratch:
-    """Tables written below the shared folder: they cut lineage and outlive the executors that wrote them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        """Deletes one table, or all when the program ends."""
-        sc = self.spark.sparkContext
-        if sc._jsc is None or sc._jsc.sc().isStopped():
-            return
-        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows out evenly when the files give fewer partitions than the cluster has cores; else unchanged."""
     least = df.sparkSession.sparkContext.defaultParallelism
