@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_letters
 from .common import Scratch, clean_text
 
 MAGIC = b"TWPFOR01"
@@ -171,8 +172,9 @@ class WordEncoder:
 
     The model's normaliser makes every run of white space one space, and its splitter drops that space, so chunks
     between white space are encoded alone. A chunk of ASCII and Latin-1 letters is lower-cased and cut as the splitter
-    cuts it; each piece that is not remembered goes to the library, as does any other chunk whole. A text that holds
-    the start of a special token's string, or a control that Python alone takes for white space, goes there whole.
+    cuts it; each piece that is not remembered goes to the library's merges, its bytes in their letters. Any other chunk
+    takes the library's whole way, as does a text that holds the start of a special token's string, or a control that
+    Python alone takes for white space. A memory that is full is emptied.
     """
 
     PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]+")
@@ -180,9 +182,13 @@ class WordEncoder:
     WHOLE = re.compile("<\\||[\x1c-\x1f]")
 
     def __init__(self, path: str, most: int = 700_000):
+        # workers are as many as cores; threads of the library would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
+        self.merges = self.library.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -190,11 +196,16 @@ class WordEncoder:
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
+    def _word(self, piece: str) -> bytes:
+        ids = [t.id for t in self.merges(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, chunks: set[str]) -> None:
-        cut = {c: self.PIECES.findall(c.lower()) if self.PLAIN.fullmatch(c) else [c] for c in chunks}
+        odd = [c for c in chunks if not self.PLAIN.fullmatch(c)]
+        self.chunks.update(zip(odd, self._library(odd), strict=True))
+        cut = {c: self.PIECES.findall(c.lower()) for c in chunks.difference(odd)}
         words = self.words
-        new = list(set(chain.from_iterable(cut.values())).difference(words))
-        words.update(zip(new, self._library(new), strict=True))
+        words.update((p, self._word(p)) for p in set(chain.from_iterable(cut.values())).difference(words))
         self.chunks.update((c, b"".join([words[p] for p in pieces])) for c, pieces in cut.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -224,17 +235,26 @@ def encoder(path: str) -> WordEncoder:
     return ENCODERS.get(path) or ENCODERS.setdefault(path, WordEncoder(path))
 
 
-def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
+def file_count(df: DataFrame, file_bytes: int) -> int:
+    """One file for each file_bytes of df by the optimizer's estimate, but no fewer than four for each core as far as each gets a megabyte."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # nobody knows, as with rows that come from the driver
+        size = df.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    return max(1, -(-size // file_bytes), min(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 20))))
+
+
+def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, file_bytes: int = 128 << 20) -> DataFrame:
     """Writes the ids of all texts, each followed by end_id, to files in ascending order of the ids of the documents.
 
     Documents are dealt by ranges of their ids, so that file k holds smaller ids than file k + 1; rows that repeat an
-    id follow each other in the order of their texts, and null ids come first. A null text counts as empty. Files get
+    id follow each other in the order of their texts, and null ids come first. A null text counts as empty. The number
+    of files follows the bytes of the input, so that a file's documents and index always fit a worker. Files get
     their final names when they are whole, and a task that runs again writes the same file. Returns (shard, path,
     n_documents, n_values); an empty table gives files without documents, or none. folder must be a place that all
     executors share and pyarrow's file systems know.
     """
-    files = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(df[id_col].cast("long").alias("id"), clean_text(df, text_col).alias("text"))
+    files = files or file_count(rows, file_bytes)
     rows = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +267,9 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int =
         with store.open_output_stream(part) as out:
             writer = PforWriter(out)
             for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for k in range(0, len(ids), 512):
-                    for doc_id, raw in zip(ids[k : k + 512], encoder(tokenizer).encode(texts[k : k + 512]), strict=True):
+                for k in range(0, b.num_rows, 512):
+                    ids, texts = (c.to_pylist() for c in b.slice(k, 512).columns)
+                    for doc_id, raw in zip(ids, encoder(tokenizer).encode(texts), strict=True):
                         writer.add(doc_id, np.frombuffer(raw + tail, "<u4"))
             n = writer.close()
         store.move(part, path)
@@ -262,7 +282,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """(id, start, n_tokens, ids binary) of every document in the files of a manifest; start counts over all files."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_values").over(before), F.lit(0)))
-    placed = placed.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
+    placed = placed.repartition(max(1, manifest.count()), "shard")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
