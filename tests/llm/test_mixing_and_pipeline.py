@@ -68,6 +68,71 @@ def test_shards_share_the_draws(spark):
     assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 3
 
 
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_shards_draw_the_runs_that_the_tree_gives_them(spark, shards, monkeypatch):
+    """A plain replay: the tree's quotas, one after the other, taken from the passes over each source's permuted blocks."""
+    seen = {}
+    tree_of = mixing.splitting_tree
+
+    def watched(plan, n, seed):
+        tree = tree_of(plan, n, seed)
+        seen["tree"] = tree.collect()
+        seen["plan"] = {r["source"]: r for r in plan.collect()}
+        return tree
+
+    monkeypatch.setattr(mixing, "splitting_tree", watched)
+    got = mixing.mix(table(spark, ROWS), shards=shards).collect()
+    key = lambda i, t: hashlib.md5(f"{'' if i is None else i}:{words(t)}:20".encode()).hexdigest()
+    drawn = {}
+    for source, plan in seen["plan"].items():
+        blocks = sorted({key(i, t) for i, t, s in ROWS if s == source})
+        size = {key(i, t): 0 for i, t, s in ROWS if s == source}
+        for i, t, s in ROWS:
+            if s == source:
+                size[key(i, t)] += words(t)
+        left, order = plan["target"] - plan["passes"] * sum(size.values()), blocks * plan["passes"]
+        for b in blocks if left > 0 else []:
+            if size[b] > left:
+                rest = [x for x in blocks[blocks.index(b) :] if abs(size[x] - left) < left]
+                order += [min(rest, key=lambda x: (abs(size[x] - left), x))] if rest else []
+                break
+            order.append(b)
+            left -= size[b]
+        assert len(order) == plan["draws"]
+        ends = [r["until"] for r in sorted((r for r in seen["tree"] if r["source"] == source), key=lambda r: r["shard"])]
+        for n, b in enumerate(order):
+            drawn.setdefault((source, b), []).append(next(k for k, end in enumerate(ends) if n < end))
+    for r in got:
+        want = drawn.get((r["source"], key(r["doc_id"], r["text"])), [])
+        assert sorted(r["drawn_shards"]) == sorted(want) and r["taken"] == r["size"] * len(want)
+
+
+def test_mix_keeps_columns_of_its_own_names_and_long_texts(spark):
+    rows = [(k, "w " * (k + 1), "s", k, k, "z", k) for k in range(9)] + [(9, "long word " * 150_000, "t", 1, 2, "y", 3), (10, None, None, 1, 2, "x", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_key long, key long, its string, shard long")
+    got = mixing.mix(df)
+    assert got.columns == [*df.columns, "size", "source_size", "target", "drawn_shards", "taken"]
+    assert sorted((r["doc_id"], r["_mix_key"], r["key"], r["its"]) for r in got.collect()) == sorted((r[0], r[3], r[4], r[5]) for r in rows)
+    mixed = mixing.mixed_rows(df)
+    assert mixed.columns == [*df.columns, "shard_"] and all(r["shard"] == r["doc_id"] or r["doc_id"] > 8 for r in mixed.collect())
+
+
+@pytest.mark.parametrize("total,marked,taken", [(10**6, 4 * 10**5, 5 * 10**5), (10**9, 3 * 10**8, 5 * 10**8)])
+def test_wide_splits_follow_the_exact_distribution(spark, total, marked, taken):
+    draw = mixing.hypergeometric(f"{total}L", f"{marked}L", f"{taken}L", "u")
+    rows = spark.createDataFrame([(q,) for q in (0.001, 0.1587, 0.5, 0.8413, 0.999)], "u double").select("u", F.expr(draw).alias("x")).collect()
+    mean = taken * marked / total
+    spread = math.sqrt(mean * (total - marked) / total * (total - taken) / (total - 1))
+    for r in rows:
+        assert abs((r["x"] - mean) / spread - {0.001: -3.0902, 0.1587: -0.9998, 0.5: 0, 0.8413: 0.9998, 0.999: 3.0902}[r["u"]]) < 0.01 + 1 / spread
+
+
+def test_bins_follow_the_rows():
+    for n in (0, 1, 100, 10**6, 10**11):
+        bins = 16 ** mixing.bin_digits(n)
+        assert bins >= n / bins and bins <= 16 * max(1, n) ** 0.5 * 16
+
+
 def test_mixed_rows(spark):
     df = table(spark, ROWS).drop("target")
     plan = {(r["doc_id"], r["size"]): r for r in mixing.mix(df).collect()}
