@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, clean_text
+from .common import Scratch, clean_text, unused
 
 
 def shared_prefix(a: bytes, b: bytes) -> int:
@@ -112,13 +112,18 @@ def sent(found: list, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
         yield told(part)
 
 
+def values(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """The batch's rows, of which only some at a time are Python objects."""
+    for k in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(k, step).columns), strict=True)
+
+
 def combine(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """Partial owners of a partition: one trie per (length, hash); beyond the budget, heavy subtrees leave first."""
     tries: dict[tuple[int, int], PatriciaTrie] = {}
     held = 0
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(3)]
-        for text, low, key in zip(columns[0], columns[1], columns[2], strict=True):
+        for text, low, key in values(batch):
             raw = text.encode()
             at = (len(raw), key)
             trie = tries.get(at) or tries.setdefault(at, PatriciaTrie())
@@ -153,7 +158,7 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OWNERS, strict=True)], schema=OWNERS)
 
     for b in batches:
-        for n, h, text, low, high, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for n, h, text, low, high, rows in values(b):
             if at != (n, h):
                 out += ended()
                 at, trie = (n, h), PatriciaTrie()
@@ -190,16 +195,19 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     scratch = Scratch(df.sparkSession, "exact_dedup")
+    added = df.withColumns(dict.fromkeys(("keep_id", "group_size", "kept", "text_sha256"), F.lit(0)))
+    sha, size, its, low, rows = unused(added, "sha", "size", "its", "low", "rows")
     own = owners(df, id_col, text_col, budget).select(
-        F.col("sha").alias("_sha"), F.col("size").alias("_size"), F.col("low" if keep == "smallest" else "high").alias("_keep"), F.col("rows").alias("_rows")
+        F.col("sha").alias(sha), F.col("size").alias(size), F.col("low" if keep == "smallest" else "high").alias(low), F.col("rows").alias(rows)
     )
     own = scratch.save(own, "owners")
-    here = df.withColumn("_text_sha", F.sha2(clean_text(df, text_col), 256)).withColumn("_text_size", F.octet_length(clean_text(df, text_col)).cast("long"))
-    out = here.join(own, (F.col("_text_sha") == F.col("_sha")) & (F.col("_text_size") == F.col("_size")))
+    text = clean_text(df, text_col)
+    here = df.withColumn(its, F.struct(F.sha2(text, 256).alias("sha"), F.octet_length(text).cast("long").alias("size")))
+    out = here.join(own, (F.col(f"{its}.sha") == F.col(sha)) & (F.col(f"{its}.size") == F.col(size)))
     out = out.withColumns({
-        "keep_id": F.col("_keep").cast(df.schema[id_col].dataType),
-        "group_size": F.col("_rows"),
-        "kept": F.col("_keep").eqNullSafe(F.col(id_col).cast("long")),
-        "text_sha256": F.col("_text_sha"),
+        "keep_id": F.col(low).cast(df.schema[id_col].dataType),
+        "group_size": F.col(rows),
+        "kept": F.col(low).eqNullSafe(F.col(id_col).cast("long")),
+        "text_sha256": F.col(sha),
     })
-    return out.drop("_sha", "_size", "_keep", "_rows", "_text_sha", "_text_size")
+    return out.drop(sha, size, its, low, rows)
