@@ -104,6 +104,26 @@ def test_table_plan_keeps_recall_at_any_size():
         assert 1 - (1 - p) ** tables >= 0.999 and n / 2**bits <= 128 or bits == 2
 
 
+def test_bucket_keys_do_not_depend_on_the_rows_beside():
+    rng = np.random.default_rng(3)
+    unit = embedding_dedup.unit_rows(rng.standard_normal((700, 24)).astype(np.float32))
+    whole = embedding_dedup.bucket_keys(unit, 5, 7, 1)
+    pick = rng.permutation(700)[:300]
+    assert np.array_equal(whole[pick], embedding_dedup.bucket_keys(unit[pick], 5, 7, 1)) and whole.max() < 32
+
+
+def test_embeddings_of_floats_lengths_and_a_hot_copy(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(x) for x in rng.standard_normal(6 if k % 3 else 9).astype(np.float32)], "l") for k in range(40)]
+    rows += [(100 + k, [1.0] * 6, "l") for k in range(200)] + [(400, [2.0] * 6, "l"), (401, [1.0] * 9, "l")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, recall=1 - 1e-9).collect()}
+    links = [(i, j) for (i, u, _), (j, v, _) in itertools.combinations(rows, 2) if len(u) == len(v) and np.dot(u, v) / np.sqrt(np.dot(u, u) * np.dot(v, v)) >= 0.93]
+    want = closure([r[0] for r in rows], links)
+    assert {i: r["component_id"] for i, r in got.items()} == want and got[150]["n_links"] >= 200
+    assert {i: r["n_links"] for i, r in got.items()} == {i: sum(i in ab for ab in links) for i in want}
+
+
 def exact_want(rows, keep):
     groups = {}
     for i, t in rows:
@@ -130,6 +150,14 @@ def test_exact_duplicates(spark, keep, budget):
     assert exact_dedup.exact_duplicates(df.limit(0)).count() == 0
 
 
+def test_exact_duplicates_keep_columns_of_their_own_names(spark):
+    rows = [(1, "a", "p", 1, 2, 3, 4, 5), (2, "a", "q", 1, 2, 3, 4, 5), (3, None, "r", 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _keep string, _rows int, sha int, Size int, its int, low int")
+    got = exact_dedup.exact_duplicates(df)
+    assert got.columns == [*df.columns, "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted(tuple(r)[:11] for r in got.collect()) == sorted((*r, k, n, k == r[0]) for r, k, n in zip(rows, (1, 1, 3), (2, 2, 1), strict=True))
+
+
 def test_patricia_trie_spills_whole_subtrees():
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))).encode() for _ in range(400)]
