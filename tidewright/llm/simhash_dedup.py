@@ -135,43 +135,59 @@ def bands(bits: int, radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def forest_edges(pdf: pd.DataFrame, radius: int, words: list[str], node: str, step: int = 1 << 19) -> pd.DataFrame:
-    """Spanning edges of the links in whole shards (band, value, bi, bj), each of which has one tree.
+def forest_edges(pdf: pd.DataFrame, radius: int, words: list[str], node: str, step: int = 1 << 19, first: int = 32) -> pd.DataFrame:
+    """A spanning forest of the links in whole shards (band, value, bi, bj).
 
-    words: the columns with the fingerprint's words; node: the column that names it.
+    words: the columns with the fingerprint's words; node: the column that names it. Every block of a shard has one tree;
+    rows search their own block's tree, or in a pair of blocks that of the other. The first few rows of each block search
+    at once. From then on the component that is the largest of its shard needs no search of its own rows: what links
+    them to others is found by the others. So a group of near copies costs its size and not the square of it.
     """
-    pdf = pdf.sort_values(["band", "value", "bi", "bj"], kind="stable", ignore_index=True)
+    pdf = pdf.sort_values(["band", "value", "bi", "bj", "block"], kind="stable", ignore_index=True)
     new = (pdf[["band", "value", "bi", "bj"]] != pdf[["band", "value", "bi", "bj"]].shift()).any(axis=1)
     shard = new.cumsum().to_numpy() - 1
     fp = np.column_stack([pdf[c].to_numpy().view(np.uint64) for c in words])
     block, bi, bj = (pdf[c].to_numpy() for c in ("block", "bi", "bj"))
-    inside, asks = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-    forest = Forest(fp[inside], shard[inside])
-    size = np.bincount(shard[inside], minlength=shard[-1] + 1 if len(shard) else 0)
-    asks = asks[size[shard[asks]] > 0]
-    root = np.array([forest.root[s] for s in shard[asks].tolist()], dtype=np.int64)
-    cut = np.cumsum(size[shard[asks]]) // step
-    a, b = [], []
-    for part in np.split(np.arange(len(asks)), np.flatnonzero(np.diff(cut)) + 1):
-        if not len(part):
-            continue
-        for q, i in forest.search(fp[asks[part]], root[part], radius):
-            x, y = asks[part[q]], inside[i]
-            apart = x != y
-            x, y = x[apart], y[apart]
-            if len(x):
-                ends, edge = np.unique(np.concatenate((x, y)), return_inverse=True)
-                label = local_components(len(ends), edge[: len(x)], edge[len(x) :])
-                a.append(ends)
-                b.append(ends[label])
-    if not a:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    # one forest of all parts and levels, so that a shard gives fewer edges than it has rows
-    ends, edge = np.unique(np.concatenate((*a, *b)), return_inverse=True)
-    label = local_components(len(ends), *np.split(edge, 2))
-    a, b = ends, ends[label]
+    tree = shard * 2 + ((bi != bj) & (block == bj))
+    wanted = np.where(bi == bj, tree, tree ^ 1)
+    forest = Forest(fp, tree)
+    size = np.bincount(tree, minlength=2 * (shard[-1] + 1) if len(shard) else 0)
+    starts = np.cumsum(size) - size
+    label = np.arange(len(pdf))
+
+    def search(rows: np.ndarray) -> None:
+        nonlocal label
+        a, b = [label], [np.arange(len(label))]
+        for q, i in forest.search(fp[rows], starts[wanted[rows]], radius):
+            a.append(rows[q])
+            b.append(i)
+        label = local_components(len(label), np.concatenate(a), np.concatenate(b))
+
+    def parts(rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows in their order, so many at once that they meet about `step` rows of their trees."""
+        at = 0
+        while at < len(rows):
+            end = at + max(1, int(np.searchsorted(np.cumsum(size[wanted[rows[at : at + step]]]), step)))
+            yield rows[at:end]
+            at = end
+
+    asks = np.flatnonzero(size[wanted] > 0)
+    early = asks - starts[tree[asks]] < first
+    for part in parts(asks[early]):
+        search(part)
+    rest = asks[~early]
+    if len(rest):
+        key, at, n = np.unique(shard * len(pdf) + label, return_index=True, return_counts=True)
+        order = np.lexsort((n, key // len(pdf)))
+        ends = np.flatnonzero(np.diff(key[order] // len(pdf), append=-1))
+        anchor = np.zeros(shard[-1] + 1, dtype=np.int64)
+        anchor[key[order][ends] // len(pdf)] = at[order][ends]
+        while len(rest := rest[label[rest] != label[anchor[shard[rest]]]]):
+            part = next(parts(rest))
+            search(part)
+            rest = rest[len(part) :]
     names = pdf[node].to_numpy()
-    return pd.DataFrame({"a": names[a], "b": names[b]})[a != b]
+    return pd.DataFrame({"a": names, "b": names[label]})[label != np.arange(len(label))]
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -179,8 +195,10 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                fp = np.array([fingerprint(t, words) for t in part.column(1).to_pylist()], dtype=np.uint64)
+                yield pa.record_batch([part.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), clean_text(df, text_col).alias("text"))
     return rows.mapInArrow(marked, "id long, fp long")
@@ -308,7 +326,8 @@ def linked(scratch: Scratch, marks: DataFrame, radius: int, block_rows: int) ->
     found = components(scratch, shard_links(rows, ["fp"], "fp", radius, block_rows))
     told = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
     told = scratch.save(told.withColumn("root", F.coalesce("root", "fp")), "told")
-    least = told.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the join have an exchange of their own and a hot root can be split
+    least = scratch.save(told.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return scratch.save(told.join(least, "root").select("fp", "component_id"), "components")
 
 
@@ -373,7 +392,8 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     told = nodes.join(found.select(F.col("node").alias("nid"), "root"), "nid", "left")
     told = scratch.save(told.withColumn("root", F.coalesce("root", "nid")), "told")
-    least = told.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the join have an exchange of their own and a hot root can be split
+    least = scratch.save(told.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     told = scratch.save(told.join(least, "root").select(*digest, "component_id"), "components")
     return marks.join(told, digest).select(F.col("id").alias(id_col), "component_id")
 
