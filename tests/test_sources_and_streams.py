@@ -159,3 +159,13 @@ def test_metrics_endpoints_are_read_with_the_schema_of_their_first_page(spark, t
     assert df.columns == ["symbol", "timestamp", "timestamp_utc", "alpha", "zeta"] and df.schema["timestamp"].dataType.simpleString() == "bigint"
     got = df.orderBy("timestamp").collect()
     assert len(got) == 700 and got[3]["alpha"] == "3.5" and got[0]["symbol"] == "S" and got[0]["timestamp_utc"].startswith("2022-09-02T00:00:00")
+
+
+def test_fields_by_the_role_of_their_source():
+    got = P.role_mapping("trades", ["Symbol", "Aggregate Trade ID", "p", "Qty", "The First Trade Id", "T", "buyer_is_maker"])
+    assert {k: (v["column"], v["confidence"]) for k, v in got.items()} == {
+        "symbol": ("Symbol", "exact"), "agg_trade_id": ("Aggregate Trade ID", "exact"), "price": ("p", "exact"), "quantity": ("Qty", "exact"), "first_trade_id": ("The First Trade Id", "by words"),
+        "last_trade_id": (None, "missing"), "trade_time": ("T", "exact"), "trade_time_utc": (None, "missing"), "is_buyer_maker": ("buyer_is_maker", "by words"), "is_best_match": (None, "missing"),
+    }
+    bars = P.role_mapping("bars", ["open_time", "open", "close", "base_volume", "taker_buy_base_asset_volume", "n_trades"])
+    assert bars["volume"]["column"] == "base_volume" and bars["taker_buy_base_volume"]["confidence"] == "by words" and bars["interval"]["confidence"] == "missing"

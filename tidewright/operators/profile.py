@@ -13,7 +13,7 @@ from ..functions import exprs as X
 MISSING = ("", "na", "n/a", "nan", "null", "none", "nat")
 INTEGER, DECIMAL, STAMP = r"^[+-]?\d+$", r"^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$", r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
-#: Aliases of logical fields, the exact names first.
+#: Aliases of logical fields of any source, the exact names first.
 ALIASES = {
     "time": ("open_time", "trade_time", "transact_time", "timestamp", "time", "ts"),
     "open": ("open", "open_price"), "high": ("high", "high_price"), "low": ("low", "low_price"), "close": ("close", "close_price"),
@@ -23,6 +23,21 @@ ALIASES = {
 }
 
 
+#: The fields that a source of each role has, by their names; a name of several words also matches any column with all of them.
+ROLES = {
+    "bars": {
+        "symbol": ("symbol",), "interval": ("interval",), "open_time": ("open_time",), "open_time_utc": ("open_time_utc", "open_utc"), "close_time": ("close_time",),
+        "open": ("open",), "high": ("high",), "low": ("low",), "close": ("close",), "volume": ("volume", "base_volume"), "quote_volume": ("quote_volume",),
+        "number_of_trades": ("number_of_trades", "trade_count", "trades"), "taker_buy_base_volume": ("taker_buy_base_volume", "taker_buy_base"),
+    },
+    "trades": {
+        "symbol": ("symbol",), "agg_trade_id": ("agg_trade_id", "aggregate_trade_id", "a"), "price": ("price", "p"), "quantity": ("quantity", "qty", "q"),
+        "first_trade_id": ("first_trade_id", "f"), "last_trade_id": ("last_trade_id", "l"), "trade_time": ("trade_time", "transact_time", "t"),
+        "trade_time_utc": ("trade_time_utc", "trade_utc"), "is_buyer_maker": ("is_buyer_maker", "buyer_maker", "m"), "is_best_match": ("is_best_match", "best_match"),
+    },
+}
+
+
 def typed(c: Column) -> dict[str, Column]:
     """Disjoint type tests of a trimmed text; a text is counted under the first that fits."""
     x, low = F.trim(c), F.lower(F.trim(c))
@@ -95,6 +110,24 @@ def field_mapping(columns: list[str], aliases: dict[str, tuple[str, ...]] = ALIA
     return {logical: find_column(columns, names) for logical, names in aliases.items()}
 
 
+def role_mapping(role: str, columns: list[str]) -> dict[str, dict[str, str | None]]:
+    """For every field of a role the column that holds it, with confidence: exact, by words, or missing. A column serves one field."""
+    out: dict[str, dict[str, str | None]] = {}
+    taken: set[str] = set()
+    plain = {re.sub(r"[^a-z0-9]+", "_", c.lower()).strip("_"): c for c in reversed(columns)}
+    for logical, names in ROLES[role].items():
+        if found := next((plain[n] for n in names if n in plain), None):
+            out[logical] = {"column": found, "confidence": "exact"}
+            taken.add(found)
+    for logical, names in ROLES[role].items():
+        if logical not in out:
+            several = tuple(n for n in names if "_" in n)
+            found = find_column([c for c in columns if c not in taken], several) if several else None
+            out[logical] = {"column": found, "confidence": "by words" if found else "missing"}
+            taken.add(found or "")
+    return {logical: out[logical] for logical in ROLES[role]}
+
+
 def meaning(column: str) -> str:
     """A column's meaning by its name, for reports."""
     for logical, names in ALIASES.items():

@@ -84,7 +84,7 @@ class Run:
         for name, path in (("trades", trades_csv), ("bars", bars_csv)):
             raw = IO.text_csv(self.spark, path)
             profiled = self.save(P.profile(raw), f"audit/{name}")
-            facts[name] = {"mapping": P.field_mapping(raw.columns), "meaning": {c: P.meaning(c) for c in raw.columns}}
+            facts[name] = {"mapping": P.role_mapping(name, raw.columns), "meaning": {c: P.meaning(c) for c in raw.columns}}
             sections |= {f"{name}: columns": profiled, f"{name}: times": P.time_fields(profiled)}
         self.report("stage0", facts, sections)
 
