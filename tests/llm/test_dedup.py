@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -346,3 +347,36 @@ def test_forest_of_wide_values():
 def test_spark_hash_is_the_contracts(spark):
     got = spark.createDataFrame([("a b c d é",)], "t string").select(F.xxhash64("t")).first()[0]
     assert got % 2**64 == xxhash.xxh64_intdigest("a b c d é".encode(), 42)
+
+
+@pytest.mark.parametrize("first", [1, 3, 32])
+def test_forest_edges_against_brute_force(first):
+    """Whole shards and shards cut into block pairs, with groups of near copies of all sizes."""
+    rng = np.random.default_rng(12)
+    for _ in range(12):
+        n = int(rng.integers(1, 200))
+        fp = rng.integers(0, 2**63, 8, dtype=np.uint64)[rng.integers(0, 8, n)]
+        for _ in range(int(rng.integers(0, 6))):
+            fp = fp ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+        rows = pd.DataFrame({"nid": np.arange(n), "f0": fp.view(np.int64), "band": 0, "value": rng.integers(0, 3, n), "block": rng.integers(0, 2, n)})
+        hot = rows["value"] == 2
+        parts = [rows[~hot].assign(block=0, bi=0, bj=0)] + [rows[hot & rows["block"].isin([i, j])].assign(bi=i, bj=j) for i, j in ((0, 0), (0, 1), (1, 1))]
+        pdf = pd.concat(parts, ignore_index=True)
+        near = []
+        for _, g in pdf.groupby(["band", "value", "bi", "bj"]):
+            for a, b in itertools.combinations(g.itertuples(), 2):
+                if (a.bi == a.bj or a.block != b.block) and int(np.uint64(a.f0 & (2**64 - 1)) ^ np.uint64(b.f0 & (2**64 - 1))).bit_count() <= 4:
+                    near.append((a.nid, b.nid))
+        got = simhash_dedup.forest_edges(pdf, 4, ["f0"], "nid", step=50, first=first)
+        assert closure(range(n), got.itertuples(index=False)) == closure(range(n), near)
+
+
+def test_a_group_of_near_copies_takes_time_of_its_size():
+    rng = np.random.default_rng(1)
+    fp = np.repeat(rng.integers(0, 2**63, (1, 4), dtype=np.uint64), 20_000, 0)
+    for _ in range(12):
+        fp[np.arange(len(fp)), rng.integers(0, 4, len(fp))] ^= np.uint64(1) << rng.integers(0, 64, len(fp)).astype(np.uint64)
+    pdf = pd.DataFrame({"nid": np.arange(len(fp)), **{f"f{k}": fp[:, k].view(np.int64) for k in range(4)}, "band": 0, "value": 0, "bi": 0, "bj": 0, "block": 0})
+    start = time.process_time()
+    assert len(simhash_dedup.forest_edges(pdf, 56, [f"f{k}" for k in range(4)], "nid")) == len(fp) - 1
+    assert time.process_time() - start < 20
