@@ -36,6 +36,20 @@ def test_word_encoder_equals_the_library():
                 assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(t)
 
 
+def test_word_encoder_remembers_pieces_and_not_what_they_stand_next_to():
+    rng = random.Random(2)
+    words, marks = ["harbor", "Süd", "don't", "É", "x9"], [".", ",", "!", "?", ")", "(", ";", ":"]
+    texts = [" ".join(rng.choice(marks) * rng.randint(1, 3) + rng.choice(words) + rng.choice(marks) for _ in range(400)) for _ in range(20)]
+    coder, library = token_files.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    for t, got, want in zip(texts, coder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(t)
+    pieces = {"harbor", "süd", "don", "'t", "é", "x", "9"} | {m * n for m in marks for n in (1, 2, 3)}
+    assert set(coder.words) == pieces and not coder.chunks
+    odd = ["日本 harbor.", "harbor. – Süd"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+    assert set(coder.words) == pieces
+
+
 def test_byte_bpe_equals_tiktoken_and_decodes():
     texts = TEXTS + fuzzed()
     ranks = byte_bpe.read_ranks(RANKS)

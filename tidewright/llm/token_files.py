@@ -5,8 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,19 +166,33 @@ class PforReader:
             yield None if null else doc_id, start, held[start - low : end - low]
 
 
+class Remembered(dict):
+    """What a function gave for each key that was asked for."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = found = self.find(key)
+        return found
+
+
 class WordEncoder:
-    """Encodes with the tokenizers library, remembering what it gave for chunks and words.
+    """Encodes with the tokenizers library, remembering what it gave for pieces of words.
 
     The model's normaliser makes every run of white space one space, and its splitter drops that space, so chunks
-    between white space are encoded alone. A chunk of ASCII and Latin-1 letters is lower-cased and cut as the splitter
-    cuts it; each piece that is not remembered goes to the library's merges, its bytes in their letters. Any other chunk
-    takes the library's whole way, as does a text that holds the start of a special token's string, or a control that
+    between white space are encoded alone. A text of ASCII and Latin-1 letters is lower-cased and cut as the splitter
+    cuts it, by one search; each piece that is not remembered goes to the library's merges, its bytes in their letters.
+    Any other text is cut into chunks first, which are remembered too: one of plain letters is cut like a text, another
+    takes the library's whole way. So does a text that holds the start of a special token's string, or a control that
     Python alone takes for white space. A memory that is full is emptied.
     """
 
-    PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]+")
-    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    PLAIN = re.compile("[\x00-\x1b -\x7fÀ-ÖØ-öø-ÿ]*")
+    PIECES = re.compile("[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9ß-öø-ÿ\\s]+")
     WHOLE = re.compile("<\\||[\x1c-\x1f]")
+    #: pieces whose bytes are their own letters
+    OWN = re.compile("[!-~]+")
 
     def __init__(self, path: str, most: int = 700_000):
         # workers are as many as cores; threads of the library would only wait for each other
@@ -190,40 +203,48 @@ class WordEncoder:
         self.merges = self.library.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Remembered(self._word)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     def _word(self, piece: str) -> bytes:
-        ids = [t.id for t in self.merges(piece.encode().decode("latin-1").translate(self.letters))]
+        if not self.OWN.fullmatch(piece):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.merges(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, chunks: set[str]) -> None:
-        odd = [c for c in chunks if not self.PLAIN.fullmatch(c)]
-        self.chunks.update(zip(odd, self._library(odd), strict=True))
-        cut = {c: self.PIECES.findall(c.lower()) for c in chunks.difference(odd)}
-        words = self.words
-        words.update((p, self._word(p)) for p in set(chain.from_iterable(cut.values())).difference(words))
-        self.chunks.update((c, b"".join([words[p] for p in pieces])) for c, pieces in cut.items())
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts of ASCII and Latin-1 letters."""
+        get, find = self.words.__getitem__, self.PIECES.findall
+        if len(self.words) > self.most:
+            self.words.clear()
+        return [b"".join(map(get, find(t.lower()))) for t in texts]
+
+    def _mixed(self, texts: list[str]) -> list[bytes]:
+        """The ids of any texts, by their chunks."""
+        chunks = self.chunks
+        if len(chunks) > self.most:
+            chunks.clear()
+        cut = [t.split() for t in texts]
+        new = set().union(*cut).difference(chunks)
+        plain = [c for c in new if self.PLAIN.fullmatch(c)]
+        odd = list(new.difference(plain))
+        chunks.update(zip(plain, self._plain(plain), strict=True))
+        chunks.update(zip(odd, self._library(odd), strict=True))
+        get = chunks.__getitem__
+        return [b"".join(map(get, parts)) for parts in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [i for i, t in enumerate(texts) if self.WHOLE.search(t)]
-        cut = [t.split() for t in texts]
-        for i in whole:
-            cut[i] = []
-        for known in (self.words, self.chunks):
-            if len(known) > self.most:
-                known.clear()
-        new = set(chain.from_iterable(cut)).difference(known)
-        if new:
-            self._learn(new)
-        get = known.__getitem__
-        out = [b"".join(map(get, parts)) for parts in cut]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        ways: tuple[list[int], ...] = [], [], []
+        for i, t in enumerate(texts):
+            ways[0 if "<|" not in t and self.PLAIN.fullmatch(t) else 2 if self.WHOLE.search(t) else 1].append(i)
+        out = [b""] * len(texts)
+        for which, way in zip(ways, (self._plain, self._mixed, self._library), strict=True):
+            for i, ids in zip(which, way([texts[i] for i in which]), strict=True):
+                out[i] = ids
         return out
 
 
