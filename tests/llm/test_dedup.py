@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewright.llm import blocks, common, embedding_dedup, exact_dedup, simhash_dedup
+from tidewright.sources import scratch
 
 
 def closure(nodes, links):
@@ -151,6 +153,15 @@ def test_exact_duplicates(spark, keep, budget):
     assert exact_dedup.exact_duplicates(df.limit(0)).count() == 0
 
 
+def test_exact_duplicates_write_no_table(spark):
+    root = Path(scratch.shared_root(spark).removeprefix("file:"))
+    before = set(root.glob("exact_dedup-*"))
+    df = spark.createDataFrame([(k, f"text {k % 3}") for k in range(12)], "doc_id long, text string")
+    got = exact_dedup.exact_duplicates(df)
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got.collect()) == [(k, k % 3, 4) for k in range(12)]
+    assert set(root.glob("exact_dedup-*")) == before
+
+
 def test_exact_duplicates_keep_columns_of_their_own_names(spark):
     rows = [(1, "a", "p", 1, 2, 3, 4, 5), (2, "a", "q", 1, 2, 3, 4, 5), (3, None, "r", 1, 2, 3, 4, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _keep string, _rows int, sha int, Size int, its int, low int")

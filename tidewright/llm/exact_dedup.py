@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, clean_text, unused
+from .common import clean_text, unused
 
 
 def shared_prefix(a: bytes, b: bytes) -> int:
@@ -194,13 +194,11 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
-    scratch = Scratch(df.sparkSession, "exact_dedup")
     added = df.withColumns(dict.fromkeys(("keep_id", "group_size", "kept", "text_sha256"), F.lit(0)))
     sha, size, its, low, rows = unused(added, "sha", "size", "its", "low", "rows")
     own = owners(df, id_col, text_col, budget).select(
         F.col("sha").alias(sha), F.col("size").alias(size), F.col("low" if keep == "smallest" else "high").alias(low), F.col("rows").alias(rows)
     )
-    own = scratch.save(own, "owners")
     text = clean_text(df, text_col)
     here = df.withColumn(its, F.struct(F.sha2(text, 256).alias("sha"), F.octet_length(text).cast("long").alias("size")))
     out = here.join(own, (F.col(f"{its}.sha") == F.col(sha)) & (F.col(f"{its}.size") == F.col(size)))
