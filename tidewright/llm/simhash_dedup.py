@@ -235,11 +235,14 @@ def sets_of(df: DataFrame, text_col: str, words: int) -> DataFrame:
     return df.select(clean_text(df, text_col).alias("text")).mapInArrow(told, "d0 long, d1 long, hashes binary").dropDuplicates(["d0", "d1"])
 
 
-def shard_links(rows: DataFrame, words: list[str], node: str, radius: int, block_rows: int) -> DataFrame:
-    """Spanning edges (a, b) of the links in the shards (band, value) of rows; hot shards are cut into block pairs."""
+def shard_links(rows: DataFrame, words: list[str], node: str, radius: int, block_rows: int, scratch: Scratch | None = None) -> DataFrame:
+    """Spanning edges (a, b) of the links in the shards (band, value) of rows; hot shards are cut into block pairs.
+
+    The scratch is that of blocked.
+    """
     place = ["band", "value", "bi", "bj"]
     columns = list(dict.fromkeys([node, *words, *place, "block"]))
-    shards = blocked(rows, ["band", "value"], node, block_rows).select(*columns)
+    shards = blocked(rows, ["band", "value"], node, block_rows, scratch=scratch).select(*columns)
     return edges_by_place(shards, place, lambda pdf: forest_edges(pdf, radius, words, node))
 
 
@@ -347,7 +350,14 @@ def sampled_places(bits: int, tables: int, total: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).permuted(np.tile(np.arange(total), (tables, 1)), axis=1)[:, :bits]
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.99, block_rows: int = 4096, seed: int = 9) -> DataFrame:
+def rounds(tables: int, most: int) -> list[range]:
+    """The tables in as few rounds as there can be with at most so many each, all of about the same size."""
+    n = -(-tables // most)
+    edges = [round(tables * k / n) for k in range(n + 1)]
+    return [range(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.99, block_rows: int = 4096, seed: int = 9, round_rows: int = 1 << 24) -> DataFrame:
     """One row per row of df: id and component_id, with links between texts of at least that shingle similarity.
 
     64 bits tell a similarity of 0.8 from unrelated texts only at a radius that no band of them serves; so this form
@@ -355,6 +365,8 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     acos(2 s / (1 + s)) / pi of the bits, give or take; those that differ in at most that share and 3 standard
     deviations more are candidates. Within the components of the candidates the shingle sets themselves are compared, and
     only pairs of at least the similarity link. Shards are the values of sampled bits, as many tables of them as the recall asks for.
+    Tables are searched in rounds, one after the other, each of about round_rows rows or of 24 tables; what a round has dealt
+    out is deleted with its end. So the disk that it takes does not grow with the number of tables.
     Null, empty and repeated texts and ids are as in near_duplicates.
     """
     scratch, sure = Scratch(df.sparkSession, "simhash_wide"), Scratch(df.sparkSession, "simhash_sure")
@@ -366,19 +378,26 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks = scratch.save(set_fingerprints(df, id_col, text_col, words, width), "marks")
     nodes = marks.groupBy(*digest, "n", *names).agg(F.min("id").alias("least")).withColumn("nid", F.monotonically_increasing_id())
     nodes = scratch.save(nodes, "nodes")
-    bits, tables = sampled_tables(nodes.count(), radius, total, recall, 64)
+    count = nodes.count()
+    bits, tables = sampled_tables(count, radius, total, recall, 64)
+    places = sampled_places(bits, tables, total, seed)
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = sampled_places(bits, tables, total, seed)
-        for pdf in batches:
-            fp = np.column_stack([pdf[c].to_numpy() for c in names]).astype("<i8")
-            ones = np.unpackbits(fp.view(np.uint8).reshape(len(pdf), -1), axis=1, bitorder="little")
-            for t in range(tables):
-                yield pdf.assign(band=np.int32(t), value=ones[:, places[t]].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)))
+    def keyed(some: range) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                fp = np.column_stack([pdf[c].to_numpy() for c in names]).astype("<i8")
+                ones = np.unpackbits(fp.view(np.uint8).reshape(len(pdf), -1), axis=1, bitorder="little")
+                for t in some:
+                    yield pdf.assign(band=np.int32(t), value=ones[:, places[t]].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)))
+
+        return keys
 
     longs = ", ".join(f"{n} long" for n in names)
-    rows = nodes.select("nid", *names).mapInPandas(keyed, f"nid long, {longs}, band int, value long")
-    loose = components(scratch, shard_links(rows, names, "nid", radius, block_rows))
+    for some in rounds(tables, max(24, round_rows // max(1, count))):
+        rows = nodes.select("nid", *names).mapInPandas(keyed(some), f"nid long, {longs}, band int, value long")
+        links = scratch.save(shard_links(rows, names, "nid", radius, block_rows, scratch), "links", "append")
+    loose = components(scratch, links)
+    scratch.drop("links")
     loose = scratch.save(nodes.join(loose.select(F.col("node").alias("nid"), "root"), "nid"), "loose")
 
     ids = loose.select(F.col("least").alias("_loose_id")).where("_loose_id IS NOT NULL").distinct()
