@@ -207,6 +207,16 @@ def test_calibration_choice_on_the_default_and_the_small_gains(spark):
     assert chosen(table(0.6860, 0.6861)) == "PLATT" and chosen(table(0.68695, 0.68696)) == "UNCALIBRATED" and chosen(table(0.7, 0.71)) == "UNCALIBRATED"
 
 
+def test_calibration_choice_compares_a_method_with_its_own_numbers(spark):
+    rows = [(method, fold, subset, 0.687, 0.229, 0.01) for method in ("UNCALIBRATED", "PLATT") for fold in ["POOLED", *(f"fold_{k}" for k in range(30))] for subset in ("DENSE", "NONOVERLAP_OFFSET_00")]
+    table = spark.createDataFrame(rows, "method string, calibration_fold string, subset_name string, log_loss double, brier double, ece_equal_frequency double")
+    # sums whose last digits differ each time they are computed, as those of many executors do
+    noisy = F.udf(lambda x: x + random.random() * 1e-12, "double").asNondeterministic()
+    table = table.withColumns({"log_loss": noisy("log_loss"), "brier": noisy("brier")})
+    got = {r["method"]: (r["loss_wins"], r["brier_wins"]) for r in SE.choose_calibration(table).collect()}
+    assert got["UNCALIBRATED"] == (0, 0) and got["PLATT"] != (0, 0)
+
+
 def test_assessment_of_the_final_test(spark):
     def said(auc, apart, gates=True):
         rows = [("m", "DENSE", auc, 0.68), ("m", "NONOVERLAP_OFFSET_00", apart, 0.68), ("l", "NONOVERLAP_OFFSET_00", 0.52, 0.69), ("p", "NONOVERLAP_OFFSET_00", None, 0.693)]

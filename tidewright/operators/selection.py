@@ -91,9 +91,13 @@ def choose_calibration(
     )
     rank_of = F.create_map(*[x for n, k in COMPLEXITY.items() for x in (F.lit(n), F.lit(k))])
     rows = rows.withColumn("complexity", rank_of[F.col("method")])
-    years_of = table.where(year).select("method", "calibration_fold", "log_loss", "brier")
-    raw = years_of.where("method = 'UNCALIBRATED'").select("calibration_fold", F.col("log_loss").alias("raw_loss"), F.col("brier").alias("raw_brier"))
-    wins = years_of.join(raw, "calibration_fold").groupBy("method").agg(F.count_if(F.col("log_loss") < F.col("raw_loss")).alias("loss_wins"), F.count_if(F.col("brier") < F.col("raw_brier")).alias("brier_wins"))
+    # the raw row of a year stands beside the others in a window: a join would compute the table twice, and with sums in another order
+    # a method could win against its own numbers
+    raw, one_year = F.col("method") == "UNCALIBRATED", Window.partitionBy("calibration_fold")
+    won = lambda c: F.count_if(F.col(c) < F.col(f"raw_{c}")).alias
+    years_of = table.where(year).withColumns({f"raw_{c}": F.max(F.when(raw, F.col(c))).over(one_year) for c in ("log_loss", "brier")})
+    years_of = years_of.withColumn("has_raw", F.max(raw).over(one_year)).where("has_raw")
+    wins = years_of.groupBy("method").agg(won("log_loss")("loss_wins"), won("brier")("brier_wins"))
     whole = Window.partitionBy()
     rows = rows.join(wins, "method", "left").withColumn("near", F.col("log_loss") - F.min("log_loss").over(whole) <= tolerance)
     order = [F.desc("near"), F.when(F.col("near"), F.lit(0.0)).otherwise(F.col("log_loss")), "brier", "dense_log_loss", "ece", "worst_log_loss", "complexity"]
